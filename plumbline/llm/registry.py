@@ -1,6 +1,7 @@
 """The training-data queries and the SQL that checks them."""
 
+from plumbline.llm.decontaminate import SQL_OP1, op1_decontaminate
 from plumbline.llm.top_k import SQL_OP10, op10_exact_top_k
 
-QUERIES = {"op10_exact_top_k": op10_exact_top_k}
-ORACLE_SQL = {"op10_exact_top_k": SQL_OP10}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_exact_top_k": op10_exact_top_k}
+ORACLE_SQL = {"op1_decontaminate": SQL_OP1, "op10_exact_top_k": SQL_OP10}
