@@ -3,8 +3,9 @@
 from plumbline.llm.decontaminate import SQL_OP1, op1_decontaminate
 from plumbline.llm.mixing import op6_mix_sources
 from plumbline.llm.simhash import op5_simhash
+from plumbline.llm.token_output import op9_training_order
 from plumbline.llm.toxicity import op8_toxicity
 from plumbline.llm.top_k import SQL_OP10, op10_exact_top_k
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_mix_sources": op6_mix_sources, "op8_toxicity": op8_toxicity, "op10_exact_top_k": op10_exact_top_k}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_mix_sources": op6_mix_sources, "op8_toxicity": op8_toxicity, "op9_training_order": op9_training_order, "op10_exact_top_k": op10_exact_top_k}
 ORACLE_SQL = {"op1_decontaminate": SQL_OP1, "op10_exact_top_k": SQL_OP10}
