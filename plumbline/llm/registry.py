@@ -1,11 +1,22 @@
 """The training-data queries and the SQL that checks them."""
 
+from plumbline.llm.chat import SQL_OP2, op2_chat_perspectives
 from plumbline.llm.decontaminate import SQL_OP1, op1_decontaminate
 from plumbline.llm.mixing import op6_mix_sources
 from plumbline.llm.simhash import op5_simhash
+from plumbline.llm.token_counts import SQL_OP4, op4_token_counts
 from plumbline.llm.token_output import op9_training_order
-from plumbline.llm.toxicity import op8_toxicity
 from plumbline.llm.top_k import SQL_OP10, op10_exact_top_k
+from plumbline.llm.toxicity import op8_toxicity
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_mix_sources": op6_mix_sources, "op8_toxicity": op8_toxicity, "op9_training_order": op9_training_order, "op10_exact_top_k": op10_exact_top_k}
-ORACLE_SQL = {"op1_decontaminate": SQL_OP1, "op10_exact_top_k": SQL_OP10}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_chat_perspectives": op2_chat_perspectives,
+    "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
+    "op6_mix_sources": op6_mix_sources,
+    "op8_toxicity": op8_toxicity,
+    "op9_training_order": op9_training_order,
+    "op10_exact_top_k": op10_exact_top_k,
+}
+ORACLE_SQL = {"op1_decontaminate": SQL_OP1, "op2_chat_perspectives": SQL_OP2, "op4_token_counts": SQL_OP4, "op10_exact_top_k": SQL_OP10}
