@@ -2,6 +2,7 @@
 
 from plumbline.llm.chat import SQL_OP2, op2_chat_perspectives
 from plumbline.llm.decontaminate import SQL_OP1, op1_decontaminate
+from plumbline.llm.html_text import op3_main_text
 from plumbline.llm.mixing import op6_mix_sources
 from plumbline.llm.simhash import op5_simhash
 from plumbline.llm.token_counts import SQL_OP4, op4_token_counts
@@ -12,6 +13,7 @@ from plumbline.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_perspectives": op2_chat_perspectives,
+    "op3_main_text": op3_main_text,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
