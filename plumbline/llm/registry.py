@@ -5,6 +5,7 @@ from plumbline.llm.decontaminate import SQL_OP1, op1_decontaminate
 from plumbline.llm.html_text import op3_main_text
 from plumbline.llm.mixing import op6_mix_sources
 from plumbline.llm.simhash import op5_simhash
+from plumbline.llm.substrings import op7_repeated_passages
 from plumbline.llm.token_counts import SQL_OP4, op4_token_counts
 from plumbline.llm.token_output import op9_training_order
 from plumbline.llm.top_k import SQL_OP10, op10_exact_top_k
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_mix_sources": op6_mix_sources,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_toxicity": op8_toxicity,
     "op9_training_order": op9_training_order,
     "op10_exact_top_k": op10_exact_top_k,
