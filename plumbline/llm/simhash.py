@@ -288,6 +288,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with its own columns, one row of each component: one with the smallest id.
+
+    Of rows repeated with that id one stays; of a component whose rows all lack an id one stays, too.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    marked = scratch.keep(near_duplicates(docs, doc_id, text))
+    named = marked.where("doc_id = component_id").select("doc_id").distinct()
+    # Rows without an id go by fingerprint: those of components without any id are the only ones that matter.
+    nameless = scratch.keep(marked.where("component_id IS NULL").select("fp").distinct())
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    read = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    key = own[doc_id]
+    kept = read.join(scratch.keep(named), F.col(key) == F.col("doc_id"), "left_semi").dropDuplicates([key])
+    if not nameless.isEmpty():
+        # The smallest text stands for each component; texts of equal fingerprints are in the same one.
+        lost = read.where(F.col(key).isNull()).withColumn("_text", F.coalesce(own[text], F.lit("")))
+        roots = _roots_without_id(lost, nameless, own, scratch)
+        kept = kept.unionByName(roots.select(*own.values()))
+    return kept.select(*(F.col(n).alias(c) for c, n in own.items()))
+
+
+def _roots_without_id(lost: DataFrame, nameless: DataFrame, own: dict, scratch: Scratch) -> DataFrame:
+    """One row of each component among rows that have no id, where the component has none."""
+    star = scratch.keep(components(links(nameless, scratch), scratch))
+    root = nameless.join(star, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    best = F.min(F.struct("_text", *own.values())).alias("row")
+    prints = fingerprints(lost.select("_text").distinct(), "_text", "_text").select(F.col("doc_id").alias("_text"), "fp")
+    return lost.join(prints, "_text").join(root, "fp").groupBy("root").agg(best).select("row.*")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
