@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.sources.shared import Scratch, delete, shared_root  # noqa: F401
+
 #: White space between words, as a byte set: space and the ASCII controls from tab to carriage return.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -18,48 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary folder only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; `drop` removes those no result needs any more."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
-        """Write `df` once and return a reader of the written table."""
-        path = self.path()
-        df.write.option("compression", codec).mode("overwrite").parquet(path)
-        read = self.spark.read.schema(df.schema).parquet(path)
-        read.scratch_path = path
-        return read
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.base}/{self.n}"
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            delete(self.spark, df.scratch_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables that hold whole runs of `key`, from a stream that is sorted by it (null keys last or first alike)."""
     carry: list[pa.Table] = []
