@@ -207,12 +207,16 @@ def bulk_caller_counts(calls_: DataFrame, threshold: int = 20) -> DataFrame:
     return distinct.groupBy("calleeFn").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select(F.col("calleeFn").alias("name"), "n")
 
 
+def first_existing(calls_: DataFrame, functions_: DataFrame) -> DataFrame:
+    """call, name: the best name under which each call's (call) entry is known."""
+    ranked = calls_.select("call", F.posexplode(S.entry_candidates(F.col("call"))).alias("rank", "name"))
+    return ranked.join(functions_.select("name"), "name").groupBy("call").agg(F.min_by("name", "rank").alias("name"))
+
+
 def entry_function(functions_: DataFrame, call: str) -> str | None:
     """The name under which a call's entry is known, the best first."""
-    spark = functions_.sparkSession
-    ranked = spark.range(1).select(F.posexplode(S.entry_candidates(F.lit(call))).alias("rank", "name"))
-    found = functions_.join(F.broadcast(ranked), "name").agg(F.min_by("name", "rank").alias("name")).first()
-    return found.name
+    found = first_existing(functions_.sparkSession.createDataFrame([(call,)], "call string"), functions_).first()
+    return found and found.name
 
 
 def dedup_edges(df: DataFrame, *key: str) -> DataFrame:

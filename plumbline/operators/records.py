@@ -185,11 +185,11 @@ def with_global_ids(df: DataFrame, order: list[str]) -> DataFrame:
     return dense(df, order, "gid").withColumn("ord", F.col("gid"))
 
 
-def dense(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+def dense(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Places from 0 without a gap. Rows are sorted in ranges and numbered in each; only the ranges' sizes meet in one task."""
     spark = df.sparkSession
-    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = df.repartitionByRange(min(n, 4096), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    n = min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
     from plumbline.sources.shared import Scratch
 
     kept = Scratch(spark, "dense").keep(sorted_)

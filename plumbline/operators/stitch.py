@@ -54,29 +54,34 @@ def merge_stubs(g: CodeGraph) -> CodeGraph:
 # Subsystems
 
 
-def _sub(g: CodeGraph, end: str, to: str) -> DataFrame:
-    return g.functions.select(F.col("name").alias(end), F.when(F.col("subsystem") != "", F.col("subsystem")).alias(to))
+def _sub(functions: DataFrame, end: str, to: str) -> DataFrame:
+    return functions.select(F.col("name").alias(end), F.when(F.col("subsystem") != "", F.col("subsystem")).alias(to))
 
 
-def _tag(edges: DataFrame, g: CodeGraph) -> DataFrame:
+def tag_crossing(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """crossSubsystem on edges whose ends' subsystems are known and differ; others stay as they are."""
-    both = edges.join(_sub(g, "callerFn", "_a"), "callerFn", "left").join(_sub(g, "calleeFn", "_b"), "calleeFn", "left")
+    both = edges.join(_sub(functions, "callerFn", "_a"), "callerFn", "left").join(_sub(functions, "calleeFn", "_b"), "calleeFn", "left")
     return both.withColumn("crossSubsystem", F.when(F.col("_a") != F.col("_b"), F.lit(True)).otherwise(F.col("crossSubsystem"))).drop("_a", "_b").select(*edges.columns)
 
 
+def crossings(edges: DataFrame, functions: DataFrame) -> DataFrame:
+    """src, dst: which subsystem calls into which, by tagged edges."""
+    ends = edges.where("crossSubsystem").join(_sub(functions, "callerFn", "src"), "callerFn").join(_sub(functions, "calleeFn", "dst"), "calleeFn")
+    return ends.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+
 def tag_calls(g: CodeGraph) -> CodeGraph:
-    return g.with_(calls=_tag(g.calls, g))
+    return g.with_(calls=tag_crossing(g.calls, g.functions))
 
 
 def tag_flows(g: CodeGraph) -> CodeGraph:
-    return g.with_(flows=_tag(g.flows, g))
+    return g.with_(flows=tag_crossing(g.flows, g.functions))
 
 
 def roll_up(g: CodeGraph) -> CodeGraph:
     """Subsystems, and which calls into which."""
     names = g.functions.select(F.col("subsystem").alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
-    crossing = g.calls.where("crossSubsystem").join(_sub(g, "callerFn", "src"), "callerFn").join(_sub(g, "calleeFn", "dst"), "calleeFn")
-    return g.with_(subsystems=names, calls_into=crossing.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    return g.with_(subsystems=names, calls_into=crossings(g.calls, g.functions))
 
 
 # Indirect calls
@@ -116,11 +121,14 @@ def resolve_indirect(g: CodeGraph, known_structs: Column | None = None) -> CodeG
 # Orphans and health
 
 
-def tag_orphans(g: CodeGraph) -> CodeGraph:
+def orphan_flags(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """orphan on functions that are not external and have no call in or out."""
-    linked = g.calls.select(F.explode(F.array("callerFn", "calleeFn")).alias("name")).distinct().withColumn("_linked", F.lit(True))
-    fns = g.functions.drop("orphan").join(linked, "name", "left")
-    return g.with_(functions=fns.withColumn("orphan", F.col("_linked").isNull() & ~F.col("isExternal")).drop("_linked"))
+    linked = calls.select(F.explode(F.array("callerFn", "calleeFn")).alias("name")).distinct().withColumn("_linked", F.lit(True))
+    return functions.drop("orphan").join(linked, "name", "left").withColumn("orphan", F.col("_linked").isNull() & ~F.col("isExternal")).drop("_linked")
+
+
+def tag_orphans(g: CodeGraph) -> CodeGraph:
+    return g.with_(functions=orphan_flags(g.functions, g.calls))
 
 
 PASSES: list[tuple[str, Pass]] = [

@@ -24,6 +24,7 @@ from plumbline.sources.shared import Scratch
 ENTRY, DIRECT, CROSS, UNRESOLVED, PRUNED = "syscall entry", "direct call", "direct call [cross-subsystem]", "indirect — no target found", "pruned: branch mismatch"
 REASON = "branch condition excluded"
 _ENV = "map<string,bigint>"
+_SITES = f"fn string, seq bigint, depth int, env {_ENV}, ptr string, callee string, kind string, outcome string"
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,7 @@ class _Lookup:
     by_field: DataFrame
     infra: DataFrame
     observed: DataFrame
+    has_sites: bool
 
 
 def _lookup(g: CodeGraph, scratch: Scratch, infra_threshold: int, observations: DataFrame | None) -> _Lookup:
@@ -61,9 +63,11 @@ def _lookup(g: CodeGraph, scratch: Scratch, infra_threshold: int, observations:
     flows = g.flows.groupBy("callerFn", "calleeFn").agg(F.array_sort(F.collect_list(F.struct(F.col("callerArgPos").alias("from_pos"), F.col("calleeParamPos").alias("to_pos"), F.coalesce("calleeParamName", F.lit("")).alias("param")))).alias("flows"))
     seen = observations if observations is not None else spark.createDataFrame([], "caller_fn string, call_site string, hit_fn string, ts timestamp")
     last = seen.where("hit_fn IS NOT NULL").groupBy(F.col("caller_fn").alias("fn"), F.col("call_site").alias("ptr")).agg(F.max_by("hit_fn", "ts").alias("_observed"))
+    all_sites = keep(sites.select(F.col("callerFunction").alias("fn"), F.col("callExpression").alias("ptr"), "target", "_index"))
     return _Lookup(
         calls=keep(g.calls.select(F.col("callerFn").alias("fn"), F.col("calleeFn").alias("callee"), F.coalesce("crossSubsystem", F.lit(False)).alias("cross"))),
-        sites=keep(sites.select(F.col("callerFunction").alias("fn"), F.col("callExpression").alias("ptr"), "target", "_index")),
+        sites=all_sites,
+        has_sites=not all_sites.isEmpty(),
         branches=keep(g.branches.where("conditionRHSLabel <> ''").select(F.col("function").alias("fn"), "conditionOp", "conditionLHS", "conditionRHSValue", "lhsArgPos", F.col("conditionRHSLabel").alias("callee"))),
         flows=keep(flows.select(F.col("callerFn").alias("fn"), F.col("calleeFn").alias("callee"), "flows")),
         by_index=keep(by_index),
@@ -92,8 +96,8 @@ def traverse(g: CodeGraph, entry: str, env: dict[str, int | None] | None = None,
         here = front.select("fn", F.col("seq").alias("_seen"))
         visited = here if seen is None else seen.unionByName(here)
         v = visited.select(F.col("fn").alias("callee"), "_seen")
-        direct, sites = _direct(front, t, v), _indirect(front, t, v, prefer_indexed)
-        sites = scratch.keep(sites)
+        direct = _direct(front, t, v)
+        sites = scratch.keep(_indirect(front, t, v, prefer_indexed)) if t.has_sites else spark.createDataFrame([], _SITES)
         n_lost = sites.where("outcome = 'unresolved'").groupBy("seq").agg(F.count("*").alias("n"))
         before = F.coalesce(F.sum(1 + F.coalesce("n", F.lit(0))).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counted = front.join(n_lost, "seq", "left").withColumn("_length", F.lit(length) + before)
