@@ -46,10 +46,10 @@ def file_name() -> Column:
 
 def whole_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """path, name, size and text of each file."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), file_name().alias("name"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), file_name().alias("name"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
 
 
 def parsed(files: DataFrame, schema: str) -> DataFrame:
@@ -67,13 +67,13 @@ def parsed(files: DataFrame, schema: str) -> DataFrame:
 
 
 def in_order(files: DataFrame, rank: Column | None = None) -> DataFrame:
-    """One row per record, with its fields, name and ord: files by rank, then name; records by place.
+    """One row per record, with its fields, unit (its file's name) and ord: files by rank, then name; records by place.
 
     Only files are numbered in one task, not records: ord is the file's number in the high bits, the place in the low.
     """
     numbered = files.withColumn("_file", F.row_number().over(Window.orderBy(rank if rank is not None else F.lit(0), "name")) - 1)
-    each = numbered.select("name", "_file", F.posexplode("records").alias("_at", "r"))
-    return each.select("r.*", "name", (F.shiftleft(F.col("_file").cast("long"), 32) + F.col("_at")).alias("ord"))
+    each = numbered.select(F.col("name").alias("unit"), "_file", F.posexplode("records").alias("_at", "r"))
+    return each.select("r.*", "unit", (F.shiftleft(F.col("_file").cast("long"), 32) + F.col("_at")).alias("ord"))
 
 
 def unit_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +113,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_headers(spark: SparkSession, root: str, below: str = "include/uapi") -> DataFrame:
     """header_line rows: path (relative), header_rank, line_no, text. Priority headers first, then all `.h` below `below`."""
     base = root.rstrip("/")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.h").text(f"{base}/include")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.h").text(f"{base}/include", wholetext=True)
     plain = base.split("://", 1)[-1].lstrip("/")
     relative = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", ""), f"^{plain}/", "")
     rank = F.create_map(*(x for i, h in enumerate(PRIORITY_HEADERS) for x in (F.lit(h), F.lit(i))))[F.col("path")]
