@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 
-#: Rows of a block. A task holds one block of each kind.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
+#: Rows of a block at most, and its components at most. A task holds one block of each kind.
+QUERY_BLOCK, CANDIDATE_BLOCK, COMPONENTS = 1024, 16384, 1 << 20
 SCALE = 64
 LONG = (-(2**63), 2**63 - 1)
 
@@ -93,8 +93,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str =
     fine = F.col(vec_id).isNotNull() & x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = candidates.where(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<double>").alias("v"))
     asked = queries.where(F.coalesce(fine, F.lit(False))).groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(x.cast("array<double>")).alias("v"))
-    n, nq = rows.count(), asked.count()
-    n_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
+    n, d = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    nq, fit = asked.count(), max(1, COMPONENTS // max(1, d))
+    n_blocks, q_blocks = max(1, -(-n // min(CANDIDATE_BLOCK, fit))), max(1, -(-nq // min(QUERY_BLOCK, fit)))
     to_all = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     q = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("cb", to_all(n_blocks))
     # Blocks go by row, not by id, so that an id repeated without end still spreads.
