@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import constants, graph, records, report, stitch, subsystems, traverse
 from plumbline.sources import records as sources
+from plumbline.sources.shared import Scratch
 from plumbline.streaming import observations as obs
 
 FORMATS = {"pretty": report.pretty, "ftrace": report.function_graph, "compact": report.compact, "json": report.as_json}
@@ -27,15 +28,17 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     merged = records.merged_units(records.validated(units)[0])
     nodes, edges = records.unified(sources.read_nodes(spark, a.records), sources.read_edges(spark, a.records), merged)
     lines = sources.read_headers(spark, a.headers) if a.headers else spark.createDataFrame([], "path string, header_rank int, line_no int, text string")
-    found = constants.extract_constants(lines).withColumn("ord", F.xxhash64("name"))
-    g = graph.load(nodes, edges, found, a.root)
+    scratch = Scratch(spark, "build")
+    nodes, edges = scratch.keep(nodes), scratch.keep(edges)
     if a.dry_run:
         files.groupBy("bad").count().show()
         nodes.groupBy("nodeType").count().show()
         edges.groupBy("edgeType").count().show()
         return
-    g = stitch.stitch(g, a.passes)
-    g.save(a.out)
+    found = scratch.keep(constants.extract_constants(lines).withColumn("ord", F.xxhash64("name")))
+    loaded = scratch.path()
+    graph.load(nodes, edges, found, a.root).save(loaded)
+    stitch.stitch(graph.read_graph(spark, loaded), a.passes).save(a.out)
     report.health(graph.read_graph(spark, a.out), a.max_unresolved).show(vertical=True)
     if a.manifest:
         subsystems.subsystems(sources.read_manifest(spark, a.manifest), a.root, a.depth, a.min_files).show(truncate=False)
