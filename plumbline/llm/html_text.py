@@ -33,6 +33,8 @@ MARKS = frozenset(
     "footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related "
     "replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe tagcloud toolbar topbar tracking warning widget widgets".split()
 )
+#: Characters of a container's own text that don't make it the article.
+LITTLE = 20
 #: Before a mark these say that the element is beside such a thing, not one itself.
 NEGATED = frozenset("has no with without hide".split())
 #: A paragraph's end is implied before these.
@@ -46,7 +48,7 @@ _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"\d{2,}")  # a single digit is more often a column than an id
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -82,6 +84,9 @@ class Page:
         #: (container, text) in page order; None is the edge of a block.
         self.pieces: list[tuple[int, str | None]] = []
         self.links: dict[int, int] = {}
+        #: Text outside links that stands in a container itself, and characters of first-level headings anywhere in it.
+        self.own: dict[int, int] = {}
+        self.titles: dict[int, int] = {}
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -94,8 +99,16 @@ class Page:
         def text(raw: str) -> None:
             if raw and not skip and holders:
                 self.pieces.append((holders[-1], raw))
+                box, size = holders[-1], len(raw.strip())
                 if links:
-                    self.links[holders[-1]] = self.links.get(holders[-1], 0) + len(raw)
+                    self.links[box] = self.links.get(box, 0) + len(raw)
+                elif size:
+                    self.own[box] = self.own.get(box, 0) + size
+                if size and headed():
+                    self.titles[box] = self.titles.get(box, 0) + size
+
+        def headed() -> bool:
+            return any(t == "h1" for t, _ in open_[-4:])
 
         def edge() -> None:
             if holders:
@@ -203,24 +216,31 @@ class Page:
         return " ".join(unescape("".join(out)).split())
 
     def best(self) -> int:
-        """The container that holds the article, by its text without links, at the deepest place that has most of it."""
+        """The container that holds the article.
+
+        From the one with most text outside links (an article or main element counts for more) down to a child while it
+        has nearly all of that text, the container itself has hardly any, and no title is left outside.
+        """
         n = len(self.paths)
-        size, link = [0] * n, [0] * n
+        size, linked = [0] * n, [self.links.get(k, 0) for k in range(n)]
+        title = [self.titles.get(k, 0) for k in range(n)]
         for box, piece in self.pieces:
             if piece is not None:
                 size[box] += len(piece.strip())
-        for box, k in self.links.items():
-            link[box] = k
-        total, linked = size[:], link[:]
         for k in range(n - 1, 0, -1):
-            if self.parents[k] >= 0:
-                total[self.parents[k]] += total[k]
-                linked[self.parents[k]] += linked[k]
+            up = self.parents[k]
+            if up >= 0:
+                size[up], linked[up], title[up] = size[up] + size[k], linked[up] + linked[k], title[up] + title[k]
         bonus = {"article": 1.6, "main": 1.3}
-        worth = [max(0, total[k] - linked[k]) * bonus.get(self.paths[k].rpartition("/")[2].split(".")[0], 1.0) * (1 - 0.5 * linked[k] / max(1, total[k])) for k in range(n)]
-        most = max(worth)
-        # Of containers nearly as good, the deepest: it holds least besides.
-        return max((k for k in range(n) if worth[k] >= 0.9 * most), key=lambda k: self.paths[k].count("/"))
+        plain = [max(0, size[k] - linked[k]) * (1 - 0.5 * linked[k] / max(1, size[k])) for k in range(n)]
+        worth = [plain[k] * bonus.get(self.paths[k].rpartition("/")[2].split(".")[0], 1.0) for k in range(n)]
+        at = max(range(n), key=lambda k: worth[k])
+        while self.own.get(at, 0) < LITTLE:
+            inner = max((k for k in range(at + 1, n) if self.parents[k] == at), key=lambda k: plain[k], default=at)
+            if inner == at or plain[inner] < 0.9 * plain[at] or title[inner] < title[at]:
+                break
+            at = inner
+        return at
 
 
 def page_vote(html: str) -> tuple[str, float]:
