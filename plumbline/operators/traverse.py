@@ -115,9 +115,8 @@ def traverse(g: CodeGraph, entry: str, env: dict[str, int | None] | None = None,
         if cut[0] or depth == max_depth:
             break
         nxt = _next(direct, sites, visited, t)
-        base = spark.range(1).select(F.lit(last).alias("_base"))
         order = Window.orderBy("p_seq", "k", "sub")
-        front = scratch.keep(nxt.crossJoin(F.broadcast(base)).select("fn", (F.col("_base") + F.row_number().over(order)).alias("seq"), F.lit(depth + 1).alias("depth"), "via", "env"))
+        front = scratch.keep(nxt.select("fn", (F.lit(last).cast("long") + F.row_number().over(order)).alias("seq"), F.lit(depth + 1).alias("depth"), "via", "env"))
         seen = visited  # a union of written levels
         if front.isEmpty():
             break

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import TTL_DAYS, valid_until
+from plumbline.operators.report import one_row
 
 TIMEOUT_S = 5.0
 
@@ -105,9 +106,8 @@ def checkup(edges: DataFrame, observations: DataFrame, now: Column, days: int =
 
 def checkup_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """verified, still_stale."""
-    still = after.agg(F.count_if(F.expr("resolvedBy = 'dynamic' AND state = 'stale'")).alias("still_stale"))
-    had = before.agg(F.count_if(F.expr("resolvedBy = 'dynamic' AND state = 'stale'")).alias("had"))
-    return had.crossJoin(still).select((F.col("had") - F.col("still_stale")).alias("verified"), "still_stale")
+    stale_ = F.count_if(F.expr("resolvedBy = 'dynamic' AND state = 'stale'"))
+    return one_row(before.agg(stale_.alias("had")), after.agg(stale_.alias("still_stale"))).select((F.col("had") - F.col("still_stale")).alias("verified"), "still_stale")
 
 
 def record_observations(edges: DataFrame, observations: DataFrame, now: Column, days: int = TTL_DAYS) -> DataFrame:
