@@ -34,20 +34,36 @@ def sizes(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, text="_text"):
-            data, offsets = text_bytes(b.column("_text"))
-            begins = INK[data]
-            blank = np.ones(len(data), bool)
-            blank[1:] = ~begins[:-1]
-            blank[offsets[offsets < len(data)]] = True
-            total = np.concatenate([[0], np.cumsum(begins & blank)])
+            counts = _starts(*text_bytes(b.column("_text")))
             made = b.select([c for c in b.schema.names if c != "_text"])
-            yield pa.RecordBatch.from_arrays([*made.columns, pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())], [*made.schema.names, "size"])
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array(counts, pa.int64())], [*made.schema.names, "size"])
 
     read = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "_text")
     return read.mapInArrow(count, f"{kinds}, size long")
 
 
+def size_of(text: Column) -> Column:
+    """The number of words of a text, as in sizes(); only the text goes to Python and only the count comes back."""
+
+    @F.arrow_udf("long")
+    def count(a: pa.Array) -> pa.Array:
+        parts = [_starts(*text_bytes(b.column("text"))) for b in text_chunks(iter([pa.RecordBatch.from_arrays([a], ["text"])]))]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+
+    return count(text)
+
+
+def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words begin in each text."""
+    begins = INK[data]
+    blank = np.ones(len(data), bool)
+    blank[1:] = ~begins[:-1]
+    blank[offsets[offsets < len(data)]] = True
+    total = np.concatenate([[0], np.cumsum(begins & blank)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
     """source, rows, source_size, target.
 
@@ -191,8 +207,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     scratch = Scratch(docs.sparkSession, "mix")
     own = {c: f"_own_{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
-    key = renamed.select("*", F.col(own[doc_id]).alias("doc_id"), F.col(own[source]).cast("string").alias("source"), F.col(own[text]).alias("text"))
-    sized = sizes(key, "text", *own.values(), "doc_id", "source")
+    sized = renamed.select("*", F.col(own[doc_id]).alias("doc_id"), F.col(own[source]).cast("string").alias("source"), size_of(F.col(own[text])).alias("size"))
     units = scratch.keep(mix(scratch.keep(sized.select("doc_id", "source", "size")), scratch, **how))
     i = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64(own[text]))) - 1
     left, right = sized.withColumn("i", i).alias("l"), units.alias("r")
