@@ -50,8 +50,8 @@ def _tail(k: pa.ChunkedArray) -> int:
     return len(codes) - (int(other[-1]) + 1 if len(other) else 0)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold some 4 MB of text each, one row at least."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold some 2 MB of text each, one row at least."""
     for batch in batches:
         at, n = 0, batch.num_rows
         if not n:

@@ -26,7 +26,7 @@ from plumbline.llm.words import ALNUM, find_words, window_hashes
 WIDTH = 10
 #: What may be broadcast: windows, and bytes of their words.
 MAX_WINDOWS, MAX_BYTES = 400_000, 64_000_000
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 _VALUES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 

@@ -33,7 +33,7 @@ KEEP = 2
 BUCKET = 1024
 #: How often a bucket is dealt again before its blocks are compared with each other.
 REFINE = 3
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 _WORD = 64
 
 

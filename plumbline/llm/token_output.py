@@ -67,16 +67,19 @@ class Encoder:
 
 
 def sequences(docs: DataFrame, ranks: dict[bytes, int], end: int = END, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, chunk (from 0), n_tokens, ids: each text's ids and `end`, in sequences of `length` ids filled up with `end`.
+    """doc_id, chunk (from 0), n_tokens, ids, part, row: each text's ids and `end`, in sequences of `length` ids filled up with `end`.
 
-    n_tokens counts the ids before the filling. A null or empty text is one sequence that holds `end` alone.
+    n_tokens counts the ids before the filling. A null or empty text is one sequence that holds `end` alone. part and
+    row say in which task and as which of its rows a sequence was made.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     stride = length * _DTYPE.itemsize
     mark = np.array([end], _DTYPE).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(held.value).encode
+        from pyspark import TaskContext
+
+        encode, task, made = Encoder(held.value).encode, TaskContext.get().partitionId(), 0
         for b in text_chunks(batches, most=1_000_000):
             at, chunk, n, ids = [], [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
@@ -87,10 +90,12 @@ def sequences(docs: DataFrame, ranks: dict[bytes, int], end: int = END, length:
                     chunk.append(k)
                     n.append(len(part) // _DTYPE.itemsize)
                     ids.append(part + mark * (length - n[-1]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(chunk, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "chunk", "n_tokens", "ids"])
+            own = [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(chunk, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array([task] * len(n), pa.int32()), pa.array(np.arange(made, made + len(n)))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "chunk", "n_tokens", "ids", "part", "row"])
+            made += len(n)
 
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInArrow(cut, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, chunk int, n_tokens int, ids binary")
+    return read.mapInArrow(cut, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, chunk int, n_tokens int, ids binary, part int, row long")
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -123,17 +128,9 @@ def training_order(docs: DataFrame, ranks: dict[bytes, int], key: int = KEY, len
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, row = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(np.arange(row, row + b.num_rows))], [*b.schema.names, "part", "row"])
-            row += b.num_rows
-
     cut = sequences(docs, ranks, end, length, doc_id, text)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    written = scratch.keep(cut.mapInArrow(number, f"{kinds}, part int, row long"), "zstd")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name not in ("part", "row"))
+    written = scratch.keep(cut, "zstd")
     counts = {r.part: r.n for r in written.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one for each partition
     first = np.zeros(max(counts, default=-1) + 2, np.int64)
     first[1:] = np.cumsum([counts.get(p, 0) for p in range(len(first) - 1)])
