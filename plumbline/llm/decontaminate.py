@@ -165,6 +165,24 @@ def _by_join(scratch: Scratch, read: DataFrame, windows: DataFrame, width: int,
     Rows go by a key of their own: their place in the table as written once.
     """
     rows = scratch.keep(read.withColumn("row", F.monotonically_increasing_id()))
+    joined = rows.join(_found(scratch, rows.select("row", "text"), windows, width), "row", "left")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, most=_CHUNK):
+            w = find_words(*text_bytes(b.column("text")), ALNUM)
+            yield _measure(b.column("doc_id"), w, *_scan(w, _joined_hits(w, b.column("hits"))))
+
+    return joined.select("doc_id", "text", "hits").mapInArrow(scan, schema)
+
+
+def _joined_hits(w, hits: pa.Array) -> list[tuple[int, int, list]]:
+    """(word, size, items) of each window, from each text's own."""
+    first = np.concatenate([[0], np.cumsum(w.n)])
+    return [(int(first[t]) + x["at"], x["size"], x["items"] or [None]) for t, own in enumerate(hits.to_pylist()) for x in own or ()]
+
+
+def _found(scratch: Scratch, rows: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """row and hits (at, size, items) of the rows (row, text) in which windows occur."""
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # `width` values at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,40 +197,38 @@ def _by_join(scratch: Scratch, read: DataFrame, windows: DataFrame, width: int,
                     words = [b" ".join(low[x:y] for x, y in zip(w.start[i : i + size].tolist(), w.end[i : i + size].tolist(), strict=True)) for i in at.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(row[w.row[at]]), pa.array(at - first[w.row[at]], pa.int64()), pa.array(_signed(h[at])), pa.array([size] * len(at), pa.int32()), pa.array(words, pa.binary())], ["row", "at", "hash", "size", "words"])
 
-    seen = rows.select("row", "text").mapInArrow(emit, "row long, at long, hash long, size int, words binary")
+    seen = rows.mapInArrow(emit, "row long, at long, hash long, size int, words binary")
     # The items of a window in one list: it holds no more ids than the benchmark has items with that window.
     meaning = windows.groupBy("size", "hash", "words").agg(F.collect_set("item_id").alias("items"))
     found = seen.join(scratch.keep(meaning), ["size", "hash", "words"]).groupBy("row").agg(F.collect_list(F.struct("at", "size", "items")).alias("hits"))
-    joined = rows.join(scratch.keep(found), "row", "left")
+    return scratch.keep(found)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches, most=_CHUNK):
-            w = find_words(*text_bytes(b.column("text")), ALNUM)
-            first = np.concatenate([[0], np.cumsum(w.n)])
-            hits = [(int(first[t]) + x["at"], x["size"], x["items"] or [None]) for t, own in enumerate(b.column("hits").to_pylist()) for x in own or ()]
-            yield _measure(b.column("doc_id"), w, *_scan(w, hits))
 
-    return joined.select("doc_id", "text", "hits").mapInArrow(scan, schema)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", width: int = WIDTH, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", width: int = WIDTH, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, join_beyond: bool = False) -> DataFrame:
     """`docs` with its own columns, without what the items leak into it.
 
     mode "documents" leaves out every row with a hit word; mode "spans" keeps all rows and cuts each run of hit words
-    out of the text. Rows without a hit stay as they are, null texts among them. Needs items within the broadcast bounds.
+    out of the text. Rows without a hit stay as they are, null texts among them. Items beyond the broadcast
+    bounds raise ValueError, or with join_beyond are found by the join that contamination() uses.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    known = _window_set(docs.sparkSession, item_windows(items, width, item_id, item_text).persist(), max_windows, max_bytes)
-    if known is None:
-        raise ValueError("the items are beyond the broadcast bounds; filter by contamination() instead")
+    windows = item_windows(items, width, item_id, item_text).persist()
+    known = _window_set(docs.sparkSession, windows, max_windows, max_bytes)
+    joined = known is None
+    if joined and not join_beyond:
+        raise ValueError("the items are beyond the broadcast bounds; use join_beyond or filter by contamination()")
     at = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, text=at, most=_CHUNK):
             data, offsets = text_bytes(b.column(at))
             w = find_words(data, offsets, ALNUM)
-            hit, _ = _scan(w, known.value.hits(w))
+            if joined:  # the last column holds the hits
+                hit, _ = _scan(w, _joined_hits(w, b.column(b.num_columns - 1)))
+                b = b.select(list(range(b.num_columns - 1)))
+            else:
+                hit, _ = _scan(w, known.value.hits(w))
             if mode == "documents":
                 yield b.filter(pa.array(np.bincount(w.row[hit], minlength=len(w.n)) == 0))
                 continue
@@ -223,6 +239,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", wi
                     texts[t] = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
+    if joined:
+        scratch = Scratch(docs.sparkSession, "decontaminate")
+        rows = scratch.keep(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")))
+        found = _found(scratch, rows.select("row", F.col("doc")[text].alias("text")), windows, width)
+        return rows.join(found, "row", "left").select("doc.*", "hits").mapInArrow(clean, docs.schema)
     return docs.mapInArrow(clean, docs.schema)
 
 

@@ -81,3 +81,22 @@ def test_empty(spark, case):
     assert contamination(d.limit(0), items).collect() == []
     assert not any(r.contaminated for r in contamination(d, items.limit(0)).collect())
     assert decontaminate(d, items.limit(0)).count() == d.count()
+
+
+def test_modes_beyond_the_broadcast_bound(case):
+    d, items, _, _ = case
+    for mode in ("documents", "spans"):
+        within, beyond = decontaminate(d, items, mode), decontaminate(d, items, mode, max_windows=5, join_beyond=True)
+        assert beyond.schema == within.schema
+        assert sorted(map(tuple, beyond.collect()), key=repr) == sorted(map(tuple, within.collect()), key=repr)
+
+
+def test_pipeline_stage_beyond_the_broadcast_bound(spark, case, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from plumbline.llm.decontaminate import MAX_WINDOWS
+
+    d, items, _, _ = case
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontaminate, "__defaults__", tuple(5 if x == MAX_WINDOWS else x for x in decontaminate.__defaults__))
+    got = corpus_pipeline.drop_leaked(spark, d, str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in contamination(d, items).where("NOT contaminated").collect()}
