@@ -4,17 +4,17 @@ For every participant of a dialogue the dialogue is rendered once with that spea
 named users; the spans to be trained on are the assistant's own words. Only DataFrame functions are used.
 
 A dialogue of any length is cut into segments by its turn numbers, and a segment in which turn numbers repeat without end
-is cut further by hashes, so no task gathers more than a bounded part of a dialogue. Every turn is in one segment.
+is cut further in the order of its turns, so no row holds more than a bounded part of it. Every turn is in one part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, table
 
-#: Turn numbers of a segment, and distinct turns beyond which a segment is cut by hashes.
+#: Turn numbers of a segment, and distinct turns beyond which a segment is cut into parts.
 TURNS, MOST = 256, 1024
 #: Roles that speak to all and are nobody's perspective.
 BACKGROUND = ("system",)
@@ -27,10 +27,11 @@ def _head(role: Column, speaker: Column) -> Column:
     return F.when(role == speaker, F.lit("<|assistant|>\n")).when(role.isin(*BACKGROUND), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(user)
 
 
-def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int | None = MOST) -> DataFrame:
     """conv_id, segment, part, speaker, n_turns, text, spans (start and length in characters), n_trained characters.
 
-    A segment holds the turns whose numbers have the same quotient by TURNS; part is 0 unless it was cut by hashes.
+    A segment holds the turns whose numbers have the same quotient by TURNS; part is 0 unless it
+    has over `most` distinct turns: then its parts follow each other in order, each for all of its speakers; None cuts none.
     Turns go by number, then role, then text, nulls first. Rows that repeat a turn in all of these count once. A null
     role is a participant named "unknown", a null text is empty and its span holds the end mark alone; null conv_ids are
     one dialogue; a null turn is in a segment of its own, null. A segment in which only background roles speak has no
@@ -38,18 +39,22 @@ def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """
     read = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     once = read.distinct().withColumn("segment", F.floor(F.col("turn") / TURNS))
-    scratch = Scratch(turns.sparkSession, "chat")
-    large = scratch.keep(read.groupBy("conv_id", F.floor(F.col("turn") / TURNS).alias("segment")).count().where(F.col("count") > MOST))
-    if large.isEmpty():
-        once = once.withColumn("part", F.lit(0))
+    nobody = F.lit(None).cast("array<string>")
+    large = None
+    if most is not None:
+        said_by = F.array_sort(F.collect_set(F.when(~F.col("role").isin(*BACKGROUND), F.col("role"))))
+        large = Scratch(turns.sparkSession, "chat").keep(once.groupBy("conv_id", "segment").agg(F.count("*").alias("count"), said_by.alias("everyone")).where(F.col("count") > most))
+    if large is None or large.isEmpty():
+        once = once.withColumn("everyone", nobody).withColumn("part", F.lit(0))
     else:
         o, c = once.alias("o"), large.alias("c")
         on = F.col("o.conv_id").eqNullSafe(F.col("c.conv_id")) & F.col("o.segment").eqNullSafe(F.col("c.segment"))
-        parts = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / MOST)
-        once = o.join(c, on, "left").select("o.*", F.pmod(F.xxhash64("turn", "role", "text"), parts).cast("int").alias("part"))
-    dialogue = once.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        place = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "text"))
+        cut = o.join(c, on).select("o.*", "everyone").withColumn("part", F.floor((place - 1) / most).cast("int"))
+        once = o.join(c, on, "left_anti").withColumn("everyone", nobody).withColumn("part", F.lit(0)).unionByName(cut)
+    dialogue = once.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.first("everyone").alias("everyone"))
     speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: ~r.isin(*BACKGROUND)))
-    each = dialogue.withColumn("speaker", F.explode(speakers))
+    each = dialogue.withColumn("speaker", F.explode(F.coalesce("everyone", speakers)))
     speaker = F.col("speaker")
     said = F.transform("turns", lambda t: F.struct(_head(t["role"], speaker).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == speaker).alias("own")))
     each = each.withColumn("said", said)
@@ -67,7 +72,7 @@ def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = perspectives(table(spark, sf_dir, "conversations"))
+    made = perspectives(table(spark, sf_dir, "conversations"), most=None)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), " ")
     return made.select("conv_id", "segment", "speaker", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("spans"), F.col("n_trained").cast("long").alias("n_trained"))
 

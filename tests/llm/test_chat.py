@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.llm.chat import perspectives
+from plumbline.llm.chat import op2_chat_perspectives, perspectives
 from tests.llm.helpers import prose
 
 SCHEMA = "conv_id long, turn long, role string, text string, segment int, spans string, said string"
@@ -54,3 +54,22 @@ def test_turns_that_repeat_without_end(spark):
 
 def test_empty(spark):
     assert perspectives(frame(spark, [(1, 1, "a", "b")]).limit(0)).collect() == []
+
+
+def test_repeated_rows_cut_nothing(spark):
+    rows = [(1, t, "ann" if t % 2 else "bob", f"turn {t}") for t in range(10)]
+    assert made(perspectives(frame(spark, rows * 200))) == brute(rows)
+
+
+def test_parts_follow_each_other(spark):
+    rows = [(1, 0, "ann" if i < 1500 else "bob", f"text {i:04}") for i in range(3000)]
+    got = perspectives(frame(spark, rows)).orderBy("part").collect()
+    for _, _, who, _, text, *_ in brute(rows):
+        assert "".join(r.text for r in got if r.speaker == who) == text
+
+
+def test_query_renders_segments_whole(spark, tmp_path):
+    rows = [(1, 0, "ann" if i % 2 else "bob", f"text {i:04}") for i in range(3000)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op2_chat_perspectives(spark, str(tmp_path)).collect()
+    assert sorted((r.speaker, r.n_turns, r.text) for r in got) == sorted((x[2], x[3], x[4]) for x in brute(rows))
