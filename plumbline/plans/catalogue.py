@@ -209,11 +209,11 @@ def unify_with_stubs(spark, d):
 # Graph passes
 
 
-def _g1(spark, d, linked=1500):
-    o = t(spark, d, "orders").where("o_orderkey < 1500")
+def _g1(spark, d, linked=1500, whole=False):
+    o = t(spark, d, "orders") if whole else t(spark, d, "orders").where("o_orderkey < 1500")
     name = lambda c: F.concat(F.lit("n"), F.col(c))
     fns = o.select(name("o_orderkey").alias("name"), (F.col("o_orderpriority") == "5-LOW").alias("isExternal"), F.lit(None).cast("string").alias("subsystem"))
-    return fns, o.where(F.col("o_orderkey") < linked).select(name("o_custkey").alias("callerFn"), name("o_orderkey").alias("calleeFn")).distinct()
+    return fns, (o if whole else o.where(F.col("o_orderkey") < linked)).select(name("o_custkey").alias("callerFn"), name("o_orderkey").alias("calleeFn")).distinct()
 
 
 @query("""WITH n AS (SELECT o_orderkey AS k, o_orderpriority = '5-LOW' AS ext FROM orders WHERE o_orderkey < 1500), e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey < 700)
@@ -559,7 +559,7 @@ def bfs_order_path(spark, d):
     """The ordered traversal with its rules for order, arguments and pruning: no SQL, tested against a model."""
     from plumbline import schemas
 
-    fns, edges = _g1(spark, d)
+    fns, edges = _g1(spark, d, whole=True)
     zero = lambda ddl: spark.createDataFrame([], ddl + ", ord bigint")
     fns = fns.select("name", "isExternal")
     g = graph.CodeGraph(

@@ -96,3 +96,10 @@ def test_against_a_queue(spark, seed, depth, steps):
     assert [(r.depth, r.function, r.via) for r in t.path.orderBy("seq").collect()] == want[0]
     assert [(r.depth, r.function) for r in t.pruned.orderBy("ord").collect()] == want[1]
     assert [r.expression for r in t.unresolved.orderBy("ord").collect()] == want[2]
+
+
+def test_order_path_goes_over_all_orders(spark, tmp_path):
+    from plumbline.plans import catalogue
+
+    spark.createDataFrame([(3, 9, "1-URGENT"), (2000, 3, "1-URGENT"), (70000, 2000, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.function for r in catalogue.bfs_order_path(spark, str(tmp_path)).orderBy("seq").collect()] == ["n3", "n2000", "n70000"]
