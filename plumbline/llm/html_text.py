@@ -219,7 +219,8 @@ class Page:
         """The container that holds the article.
 
         From the one with most text outside links (an article or main element counts for more) down to a child while it
-        has nearly all of that text, the container itself has hardly any, and no title is left outside.
+        has nearly all of that text, the container itself has hardly any, and no title is left outside. From an
+        article or main element, or within one, only down to a child that has all of its text.
         """
         n = len(self.paths)
         size, linked = [0] * n, [self.links.get(k, 0) for k in range(n)]
@@ -239,6 +240,8 @@ class Page:
             inner = max((k for k in range(at + 1, n) if self.parents[k] == at), key=lambda k: plain[k], default=at)
             if inner == at or plain[inner] < 0.9 * plain[at] or title[inner] < title[at]:
                 break
+            if size[inner] < size[at] and any(p.split(".")[0] in bonus for p in self.paths[at].split("/")):
+                break  # what isn't an article's own has been left out by its marks
             at = inner
         return at
 

@@ -74,3 +74,9 @@ def test_what_is_left_out():
     assert extract("<form><p>all in a form</p></form>", None) == "all in a form"
     for odd, text in (("", ""), ("plain", "plain"), ("<div", ""), ("</p></div>x<!-- y", "x"), ("a < b & c", "a < b & c"), ("<p>a<p>b", "a b"), ("<textarea><p>x</textarea>y", "y")):
         assert extract(odd, None) == text or odd == "<div"
+
+
+def test_an_article_keeps_all_its_parts():
+    lead, body = "lead " * 80, "body " * 1000
+    page = f'<body><nav>menu</nav><article><header><h1>Title</h1></header><div class="lead">{lead}</div><div class="body">{body}</div><div class="close">by someone who wrote it</div></article></body>'
+    assert extract(page, page_vote(page)[0]) == f"{lead}{body}by someone who wrote it"
