@@ -1,13 +1,13 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 A short list of insults is given, and a lexicon is learned from labelled texts: words, and beginnings of words, that are
-far more frequent in toxic texts. The features of a text are densities of lexicon hits, their weights, hits near words of the second person, shares of
-capitals and punctuation, and the rate of words written with digits or signs inside, with the hits those hide. Features
-of a training text use a lexicon learned without its fold, and the calibration is fitted to scores of trees grown
-without its fold, so neither is flattered by the text itself.
+far more frequent in toxic texts. The features of a text are densities of lexicon hits, their weights, hits near words of
+the second person, shares of capitals and punctuation, and the rate of words written with digits or signs inside, with the
+hits those hide. Features of a training text use a lexicon learned without its fold, and the calibration is fitted to
+scores of trees grown without its fold, so neither is flattered by the text itself.
 
-Fitting uses at most MAX_LABELLED labelled texts, those with the smallest hashes of their ids; scoring is one pass over
-all whole texts with the small fitted model in a broadcast.
+Fitting uses at most MAX_LABELLED labelled texts, those with the smallest hashes of their ids, which bounds the lexicon
+too; scoring is one pass over all whole texts with the small fitted model in a broadcast.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, table, text_bytes, text_chunks
 
-#: Bounds of the fit: labelled texts, tokens that are counted, lexicon entries.
-MAX_LABELLED, MAX_CANDIDATES, MAX_LEXICON = 20_000, 60_000, 6_000
+#: The bound of the fit: labelled texts.
+MAX_LABELLED = 20_000
 THRESHOLD, FOLDS = 0.3, 4
 #: A token enters a lexicon with so many toxic texts at least, and so large a log ratio of its rates.
 LEAST_TEXTS, LEAST_WEIGHT = 3, 3.0
@@ -43,7 +43,9 @@ INSULTS = frozenset(
 )
 _WORD = re.compile(r"[^\W_]+")
 #: A word with digits or signs between its letters, and the letters they stand for.
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.+\-_]{1,3}[^\W\d_]+)+")
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*.+\-_]{1,3}[^\W\d_]++)+")
+#: What often stands around a word and hides nothing.
+_AROUND = ".,;:!?\"'()"
 _STANDS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "+": None, "-": None, "_": None})
 _CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
 _PUNCT = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
@@ -57,6 +59,11 @@ def tokens(text: str) -> set[str]:
     return words | {w[:k] + "~" for k in BEGINNINGS for w in words if len(w) > k}
 
 
+def masked_words(low: str) -> list[str]:
+    """Words with digits or signs inside. They hold no white space, so pieces of letters alone needn't be looked at."""
+    return [m for t in low.split() if not t.isalpha() and not t.strip(_AROUND).isalpha() for m in _MASKED.findall(t)]
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
@@ -75,11 +82,11 @@ class Lexicon:
         for k in BEGINNINGS:
             for b in {w[:k] for w in own if len(w) > k}.intersection(self.begins):
                 begins[b] = self.begins[b]
-        masked = _MASKED.findall(low)
+        masked = masked_words(low)
         second = not own.isdisjoint(SECOND)
         if hits or begins or second:
-            starts = tuple(begins)
-            at = [i for i, w in enumerate(words) if w in known or starts and w.startswith(starts)] if hits or begins else []
+            found = {w for w in own if w in known or any(w[:k] in begins for k in BEGINNINGS)} if hits or begins else ()
+            at = [i for i, w in enumerate(words) if w in found] if found else []
             to = [i for i, w in enumerate(words) if w in SECOND] if second else []
             row[9] = len(to) / n
             if at:
@@ -247,12 +254,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     if not n[0] or not n[1]:
         return Model(Lexicon(), None, (np.zeros(1), np.array([1.0 if n[1] else 0.0])))
     frequent = _counts(sample.where("toxic = 1"), None).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    candidates = frozenset(r.token for r in frequent.orderBy(F.desc("n"), "token").limit(MAX_CANDIDATES).collect())
-    seen = _counts(sample, candidates).groupBy("token", "fold", "toxic").agg(F.sum("n").alias("n")).groupBy("token")
-    one, zero = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
-    ratio = (one + 0.1) / (zero + 0.5)
-    ranked = seen.agg(F.collect_list(F.struct("fold", "toxic", "n")).alias("counts"), ratio.alias("ratio")).orderBy(F.desc("ratio"), "token").limit(MAX_LEXICON)
-    rows = [(r.token, [tuple(c) for c in r.counts]) for r in ranked.collect()]
+    candidates = frozenset(r.token for r in frequent.collect())  # of the sample, so bounded with it
+    by = {(f, t): F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)}
+    seen = _counts(sample, candidates).groupBy("token").agg(*by.values())
+    some = F.lit(False)
+    for without in (None, *range(FOLDS)):  # whether a token enters any of the lexicons, with room for rounding
+        one, zero = (sum((F.col(f"n{f}_{t}") for f in range(FOLDS) if f != without), F.lit(0)) for t in (1, 0))
+        total = [sum(v for (f, t), v in texts.items() if t == k and f != without) for k in (0, 1)]
+        some = some | ((one >= LEAST_TEXTS) & (F.log((one + 0.1) / (total[1] + 0.2)) - F.log((zero + 0.5) / (total[0] + 1)) >= LEAST_WEIGHT - 1e-6))
+    rows = [(r.token, [(f, t, r[f"n{f}_{t}"]) for f, t in by]) for r in seen.where(some).orderBy("token").collect()]
     lexicons = {f: _lexicon(rows, texts, f) for f in range(FOLDS)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
             _shares(b.column("text"), x)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("toxic"), b.column("fold"), pa.array([hash_of(t) for t in b.column("text").to_pylist()], pa.int64())], ["x", "toxic", "fold", "h"])
 
-    got = sample.mapInArrow(measure, "x array<double>, toxic int, fold int, h long").orderBy("h", "toxic").toArrow()
+    got = sample.mapInArrow(measure, "x array<double>, toxic int, fold int, h long").toArrow()
+    got = got.sort_by([("h", "ascending"), ("toxic", "ascending")])  # at most `most` rows, whose order no longer depends on how they were dealt
     x, y, fold = np.array(got["x"].to_pylist()), got["toxic"].to_numpy().astype(float), got["fold"].to_numpy()
     apart = np.zeros(len(y))
     for f in range(FOLDS):

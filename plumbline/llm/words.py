@@ -19,6 +19,17 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Bytes that are hashed at once, and the powers of the polynomial's point and of its inverse up to there.
+_BLOCK = 1 << 18
+
+
+def _powers(x: np.uint64) -> np.ndarray:
+    out = np.full(_BLOCK, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _BACK = _powers(_P), _powers(_P_INV)
 
 
 @dataclass
@@ -32,19 +43,20 @@ class Words:
     n: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from prefix sums of a polynomial in its bytes."""
-        size = len(self.low)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        power = np.full(size, _P, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[self.low] * power, out=total[1:])
-        back = np.full(size, _P_INV, np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        h = (total[self.end] - total[self.start]) * back[self.start]
+        """A 64-bit hash of each word, from prefix sums of a polynomial in its bytes, worked out block by block."""
+        begins, ends = np.zeros(len(self.start), np.uint64), np.zeros(len(self.start), np.uint64)
+        total, power, back = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+        unshift = np.zeros(len(self.start), np.uint64)
+        for lo in range(0, len(self.low), _BLOCK):
+            seg = self.low[lo : lo + _BLOCK]
+            upto = np.concatenate([total, np.cumsum(_BYTE[seg] * (_POWERS[: len(seg)] * power), dtype=np.uint64) + total])
+            x, y = np.searchsorted(self.start, [lo, lo + len(seg)])
+            begins[x:y] = upto[self.start[x:y] - lo]
+            unshift[x:y] = _BACK[self.start[x:y] - lo] * back
+            x, y = np.searchsorted(self.end, [lo + 1, lo + len(seg) + 1])
+            ends[x:y] = upto[self.end[x:y] - lo]
+            total, power, back = upto[-1:], power * _POWERS[-1:] * _P, back * _BACK[-1:] * _P_INV
+        h = (ends - begins) * unshift
         h ^= h >> np.uint64(32)
         h *= _MIX
         return h ^ (h >> np.uint64(29))
@@ -53,10 +65,8 @@ class Words:
 def find_words(data: np.ndarray, offsets: np.ndarray, ink: np.ndarray) -> Words:
     low = LOWER[data]
     inside = ink[data]
-    before = np.zeros_like(inside)
-    before[1:] = inside[:-1]
-    after = np.zeros_like(inside)
-    after[:-1] = inside[1:]
+    before, after = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
     edge = offsets[(offsets > 0) & (offsets < len(data))]
     before[edge] = False
     after[edge - 1] = False

@@ -1,6 +1,7 @@
 import random
 from html import escape
 from html.parser import HTMLParser
+from time import process_time
 
 from plumbline.llm.html_text import extract, main_text, page_vote
 from tests.llm.helpers import prose
@@ -80,3 +81,17 @@ def test_an_article_keeps_all_its_parts():
     lead, body = "lead " * 80, "body " * 1000
     page = f'<body><nav>menu</nav><article><header><h1>Title</h1></header><div class="lead">{lead}</div><div class="body">{body}</div><div class="close">by someone who wrote it</div></article></body>'
     assert extract(page, page_vote(page)[0]) == f"{lead}{body}by someone who wrote it"
+
+
+def test_broken_and_deep_markup():
+    """Each within a time that grows with the page, not with its square."""
+    cases = {"<a " * 700_000: None, "<a '\"" * 300_000: None, "<a \"'x" * 300_000 + ">": None, "<!" * 700_000: None, "<div>" * 100_000 + "x": "x", "<p><i>" * 100_000 + "</p>" * 50_000: "", "<section>" * 50_000 + "<b></section>" * 50_000: ""}
+    for bad, text in cases.items():
+        began = process_time()
+        made = extract(bad, None)
+        page_vote(bad)
+        assert process_time() - began < 20 and (text is None or made == text)
+
+
+def test_references_end_at_markup():
+    assert extract("<p>&am<b>p;lt;</b> &amp;lt; &#233;&eacute</p>", None) == "&amp;lt; &lt; éé"

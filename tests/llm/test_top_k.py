@@ -1,6 +1,8 @@
 import numpy as np
 
-from plumbline.llm.top_k import threshold_top_k, top_k
+from pyspark.sql import functions as F
+
+from plumbline.llm.top_k import found_scores, threshold_top_k, top_k
 
 
 def brute(rows, k):
@@ -47,3 +49,20 @@ def test_stops_before_it_has_read_all():
     s = c @ q[0]
     want = np.lexsort((np.arange(20_000), -s))[:10]
     assert all(set(b) == set(want) for b in best) and scored < 0.2 * 3 * 20_000
+
+
+def test_clusters_are_skipped(spark):
+    """Exact with many small blocks, and in clustered rows only a part of all scores is computed."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 24)) * 4
+    rows = [(i, (centres[i * 7 % 20] + rng.normal(size=24) * 0.3).round(3).tolist()) for i in range(3000)]
+    rows += [(4000, rows[0][1]), (4000, rows[1][1]), (4001, rows[0][1]), (4001, rows[0][1])]  # repeated ids, one of them asked for
+    df = frame(spark, rows)
+    how = {"per_centre": 100, "candidate_block": 64, "query_block": 16}
+    asked = df.where("vec_id % 20 = 0")
+    got = sorted(map(tuple, top_k(asked, df, 20, **how).collect()))
+    assert [g for g in got if g[0] != 4000] == [b for b in brute(rows, 20) if b[0] != 4000]
+    small = min((rows[0][1], rows[1][1]))
+    assert [g for g in got if g[0] == 4000] == [b for b in brute([r for r in rows if r[0] != 4000] + [(4000, small)], 20) if b[0] == 4000]
+    scored = found_scores(asked, df, 20, **how).agg(F.sum("scored")).first()[0]
+    assert scored < 0.5 * len(rows) * asked.count()

@@ -1,10 +1,12 @@
 import random
+import re
 import zlib
+from time import process_time
 
 import numpy as np
 import pytest
 
-from plumbline.llm.toxicity import Trees, isotonic, toxicity, without_toxic
+from plumbline.llm.toxicity import FEATURES, Lexicon, Trees, isotonic, masked_words, toxicity, without_toxic
 from tests.llm.helpers import docs, odd_rows, prose
 
 FOUL = [f"zork{x}" for x in "a b c d e f".split()]
@@ -60,3 +62,17 @@ def test_trees_and_calibration():
     xs, ys = isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert np.allclose(ys, [0, 0.5, 1])
     assert (np.diff(xs) > 0).all()
+
+
+def test_masked_words():
+    plain, rng = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.+\-_]{1,3}[^\W\d_]+)+"), random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("abé²ⅷ漢 1@$!|*.+-_\t(,") for _ in range(rng.randint(0, 30)))
+        assert masked_words(text) == plain.findall(text)
+
+
+def test_long_unbroken_texts():
+    for bad in ("a" * 2_000_000, "a." * 1_000_000, "1" * 2_000_000, "a...." * 400_000, "idiot " * 300_000 + "you " * 10):
+        began = process_time()
+        Lexicon({"idiot": 4.0}, {"idio": 3.5}).features(bad, np.zeros(len(FEATURES)))
+        assert process_time() - began < 10
