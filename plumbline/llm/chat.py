@@ -1,10 +1,10 @@
 """Multi-party chat formatting by perspective rotation.
 
-For every participant of a dialogue the dialogue is rendered once with that speaker as the assistant and the others as
-named users; the spans to be trained on are the assistant's own words. Only DataFrame functions are used.
+For every participant of a dialogue the whole dialogue is rendered once, with that speaker as the assistant and the others
+as named users; the spans to be trained on are the assistant's own words. Only DataFrame functions are used.
 
-A dialogue of any length is cut into segments by its turn numbers, and a segment in which turn numbers repeat without end
-is cut further in the order of its turns, so no row holds more than a bounded part of it. Every turn is in one part.
+A perspective comes in chunks of CHUNK turns, in order: one after the other they are the perspective, and a chunk's offset
+says how many characters are before it. Turns get their places by a sort in ranges, so no task has to hold a dialogue.
 """
 
 from __future__ import annotations
@@ -14,50 +14,77 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, table
 
-#: Turn numbers of a segment, and distinct turns beyond which a segment is cut into parts.
-TURNS, MOST = 256, 1024
+#: Turns of a chunk; the last of a dialogue has fewer.
+CHUNK = 512
 #: Roles that speak to all and are nobody's perspective.
 BACKGROUND = ("system",)
 UNKNOWN = "unknown"
-END = "<|end|>\n"
+ASSISTANT, END = "<|assistant|>\n", "<|end|>\n"
 
 
-def _head(role: Column, speaker: Column) -> Column:
-    user = F.concat(F.lit("<|user "), role, F.lit("|>\n"))
-    return F.when(role == speaker, F.lit("<|assistant|>\n")).when(role.isin(*BACKGROUND), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(user)
+def _plain(role: Column) -> Column:
+    """What stands before a turn of `role` where somebody else is the assistant."""
+    return F.when(role.isin(*BACKGROUND), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user "), role, F.lit("|>\n")))
 
 
-def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int | None = MOST) -> DataFrame:
-    """conv_id, segment, part, speaker, n_turns, text, spans (start and length in characters), n_trained characters.
+def _same(a: str, b: str, *more: str) -> Column:
+    """Equal dialogues, null among them, of the frames `a` and `b`, and equal `more`."""
+    on = F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    for c in more:
+        on = on & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return on
 
-    A segment holds the turns whose numbers have the same quotient by TURNS; part is 0 unless it
-    has over `most` distinct turns: then its parts follow each other in order, each for all of its speakers; None cuts none.
-    Turns go by number, then role, then text, nulls first. Rows that repeat a turn in all of these count once. A null
-    role is a participant named "unknown", a null text is empty and its span holds the end mark alone; null conv_ids are
-    one dialogue; a null turn is in a segment of its own, null. A segment in which only background roles speak has no
-    perspective and so no row. Other columns are ignored; an empty table gives an empty result.
+
+def _placed(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """`turns` with i, a turn's place in its dialogue.
+
+    Sorted in ranges, a dialogue lies in one partition or in some that follow each other; within one its turns are
+    numbered there. A partition's first dialogue alone can have begun in an earlier one, so there are no more starts to
+    carry over than partitions.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+    n = min(4096, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = scratch.keep(turns.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = counts.withColumn("before", before).where("before IS NOT NULL").select("conv_id", "part", "before")
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")) - 1
+    own = dealt.withColumn("place", place)
+    joined = own.alias("a").join(F.broadcast(carried).alias("b"), _same("a", "b", "part"), "left")
+    return joined.select("a.*", (F.col("place") + F.coalesce("before", F.lit(0))).alias("i")).drop("part", "place")
+
+
+def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = CHUNK) -> DataFrame:
+    """conv_id, speaker, chunk, offset, n_turns, text, spans (start and length in the chunk's characters), n_trained.
+
+    chunk counts from 0, `most` turns each; offset is the number of the perspective's characters before it; n_turns and
+    n_trained (characters of the spans) are the chunk's. Every participant has every chunk, those without a word of
+    theirs too. Turns go by number, then role, then text, nulls first. Rows that repeat a turn in all of these count
+    once. A null role is a participant named "unknown", a null text is empty and its span holds the end mark alone; null
+    conv_ids are one dialogue. A dialogue in which only background roles speak has no perspective and so no row. Other
+    columns are ignored; an empty table gives an empty result.
     """
+    scratch = Scratch(turns.sparkSession, "chat")
     read = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    once = read.distinct().withColumn("segment", F.floor(F.col("turn") / TURNS))
-    nobody = F.lit(None).cast("array<string>")
-    large = None
-    if most is not None:
-        said_by = F.array_sort(F.collect_set(F.when(~F.col("role").isin(*BACKGROUND), F.col("role"))))
-        large = Scratch(turns.sparkSession, "chat").keep(once.groupBy("conv_id", "segment").agg(F.count("*").alias("count"), said_by.alias("everyone")).where(F.col("count") > most))
-    if large is None or large.isEmpty():
-        once = once.withColumn("everyone", nobody).withColumn("part", F.lit(0))
-    else:
-        o, c = once.alias("o"), large.alias("c")
-        on = F.col("o.conv_id").eqNullSafe(F.col("c.conv_id")) & F.col("o.segment").eqNullSafe(F.col("c.segment"))
-        place = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "text"))
-        cut = o.join(c, on).select("o.*", "everyone").withColumn("part", F.floor((place - 1) / most).cast("int"))
-        once = o.join(c, on, "left_anti").withColumn("everyone", nobody).withColumn("part", F.lit(0)).unionByName(cut)
-    dialogue = once.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.first("everyone").alias("everyone"))
-    speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: ~r.isin(*BACKGROUND)))
-    each = dialogue.withColumn("speaker", F.explode(F.coalesce("everyone", speakers)))
+    placed = _placed(read.distinct(), scratch)
+    by_chunk = placed.groupBy("conv_id", F.floor(F.col("i") / most).alias("chunk"))
+    dialogue = scratch.keep(by_chunk.agg(F.array_sort(F.collect_list(F.struct("i", "role", "text"))).alias("turns")))
+    # Offsets from what each role adds to each chunk: the assistant's turns differ from a user's by their heads alone.
+    said = dialogue.select("conv_id", "chunk", F.explode(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n")))).alias("t")).select("conv_id", "chunk", "t.*")
+    adds = F.sum(F.col("n") + F.length(_plain(F.col("role"))) + len(END))
+    roles = scratch.keep(said.groupBy("conv_id", "chunk", "role").agg(F.count("*").alias("own"), adds.alias("length")))
+    earlier = lambda *key: Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = roles.groupBy("conv_id", "chunk").agg(F.sum("length").alias("length")).withColumn("before", F.coalesce(F.sum("length").over(earlier("conv_id")), F.lit(0)))
+    speakers = roles.where(~F.col("role").isin(*BACKGROUND)).select("conv_id", F.col("role").alias("speaker")).distinct()
+    grid = chunks.alias("a").join(speakers.alias("b"), _same("a", "b")).select("a.conv_id", "chunk", "before", "speaker")
+    spoken = roles.select("conv_id", "chunk", F.col("role").alias("speaker"), "own")
+    grid = grid.alias("a").join(spoken.alias("b"), _same("a", "b", "chunk", "speaker"), "left").select("a.*", F.coalesce("own", F.lit(0)).alias("own"))
+    own_before = F.coalesce(F.sum("own").over(earlier("conv_id", "speaker")), F.lit(0))
+    grid = grid.withColumn("offset", F.col("before") + own_before * (len(ASSISTANT) - F.length(_plain(F.col("speaker")))))
+    each = dialogue.alias("a").join(grid.alias("b"), _same("a", "b", "chunk")).select("a.*", "speaker", "offset")
     speaker = F.col("speaker")
-    said = F.transform("turns", lambda t: F.struct(_head(t["role"], speaker).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == speaker).alias("own")))
-    each = each.withColumn("said", said)
+    head = lambda r: F.when(r == speaker, F.lit(ASSISTANT)).otherwise(_plain(r))
+    each = each.withColumn("said", F.transform("turns", lambda t: F.struct(head(t["role"]).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == speaker).alias("own"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -67,31 +94,29 @@ def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
     spans = F.aggregate("said", start, step)["spans"]
     whole = F.array_join(F.transform("said", lambda m: F.concat(m["head"], m["body"])), "")
-    out = each.select("conv_id", "segment", "part", "speaker", F.size("turns").alias("n_turns"), whole.alias("text"), spans.alias("spans"))
+    out = each.select("conv_id", "speaker", "chunk", "offset", F.size("turns").alias("n_turns"), whole.alias("text"), spans.alias("spans"))
     return out.withColumn("n_trained", F.aggregate("spans", F.lit(0), lambda n, s: n + s["length"]))
 
 
 def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = perspectives(table(spark, sf_dir, "conversations"), most=None)
+    made = perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), " ")
-    return made.select("conv_id", "segment", "speaker", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("spans"), F.col("n_trained").cast("long").alias("n_trained"))
+    return made.select("conv_id", "speaker", "chunk", "offset", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("spans"), F.col("n_trained").cast("long").alias("n_trained"))
 
 
-# Of segments within MOST distinct turns: the query deals larger ones into parts.
 SQL_OP2 = """
-WITH m AS (
-  SELECT DISTINCT conv_id, CAST(floor(turn / 256) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations),
-p AS (SELECT DISTINCT conv_id, segment, role AS speaker FROM m WHERE role <> 'system'),
+WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM m),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
 r AS (
-  SELECT p.conv_id, p.segment, speaker, role = speaker AS own,
-         row_number() OVER (PARTITION BY p.conv_id, p.segment, speaker ORDER BY turn NULLS FIRST, role, text) AS i,
+  SELECT p.conv_id, speaker, i, i // 512 AS chunk, role = speaker AS own,
          CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user ' || role || '|>' END || chr(10) AS head,
          text || '<|end|>' || chr(10) AS body
-  FROM p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.segment IS NOT DISTINCT FROM p.segment),
-s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY i) - length(body) AS start FROM r)
-SELECT conv_id, segment, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY i) AS text,
-       coalesce(string_agg(CAST(start AS VARCHAR) || '+' || CAST(length(body) AS VARCHAR), ' ' ORDER BY i) FILTER (WHERE own), '') AS spans,
+  FROM p JOIN o ON o.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY i) AS upto FROM r),
+c AS (SELECT *, min(upto - length(head) - length(body)) OVER (PARTITION BY conv_id, speaker, chunk) AS begins FROM s)
+SELECT conv_id, speaker, CAST(chunk AS BIGINT) AS chunk, CAST(begins AS BIGINT) AS "offset", count(*) AS n_turns, string_agg(head || body, '' ORDER BY i) AS text,
+       coalesce(string_agg(CAST(upto - length(body) - begins AS VARCHAR) || '+' || CAST(length(body) AS VARCHAR), ' ' ORDER BY i) FILTER (WHERE own), '') AS spans,
        CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_trained
-FROM s GROUP BY conv_id, segment, speaker
+FROM c GROUP BY conv_id, speaker, chunk, begins
 """

@@ -4,8 +4,8 @@ Texts and items are cut into words of letters, digits and characters beyond ASCI
 `width` consecutive words of an item, or all words of a shorter item. Every text is scanned once: rolling hashes of its
 windows are looked up in the set, and each hit is verified word by word before it counts.
 
-The set is broadcast only within `max_windows` and `max_bytes`. Beyond them hits are found by a join of the texts'
-window hashes with the items', which has no such bound, and are verified in the same way.
+The set is broadcast only within `max_windows` and `max_bytes`. Beyond them the texts' window hashes are joined with the
+items', which has no such bound; the few that are left meet the windows' words and are verified in the same way.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from plumbline.llm.common import Scratch, table, text_bytes, text_chunks
 from plumbline.llm.words import ALNUM, find_words, window_hashes
 
 WIDTH = 10
-#: What may be broadcast: windows, and bytes of their words.
+#: What may be broadcast: windows, and bytes in memory.
 MAX_WINDOWS, MAX_BYTES = 400_000, 64_000_000
 _CHUNK = 1_000_000
 _VALUES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -56,35 +56,58 @@ def item_windows(items: DataFrame, width: int = WIDTH, item_id: str = "item_id",
 
 
 class WindowSet:
-    """The windows in memory: for each size a bit table that lets few others through, and the words by hash."""
-
-    def __init__(self, rows):
-        self.words: dict[int, dict[int, dict[bytes, list]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
-        for size, h, words, item in rows:
-            self.words[size][h & (2**64 - 1)][bytes(words)].append(item)
-        self.words = {s: {h: dict(x) for h, x in d.items()} for s, d in self.words.items()}
-        self.bits: dict[int, np.ndarray] = {}
-        for size, d in self.words.items():
-            self.bits[size] = np.zeros(1 << 22, bool)
-            self.bits[size][np.fromiter(d, np.uint64, len(d)) >> np.uint64(42)] = True
+    """The windows in a few arrays: by size their hashes in order, their words in one run of bytes, and their items."""
+
+    def __init__(self, t: pa.Table):
+        """t: size, hash, words and item_id of each window and item."""
+        t = t.sort_by([(c, "ascending") for c in ("size", "hash", "words")]).combine_chunks()
+        size, h, words = t["size"].to_numpy(), t["hash"].to_numpy(), t["words"].to_pylist()
+        new = np.array([i == 0 or (size[i], h[i], words[i]) != (size[i - 1], h[i - 1], words[i - 1]) for i in range(len(words))], bool)
+        at = np.flatnonzero(new)
+        own = [words[i] for i in at.tolist()]
+        self.words = b"".join(own)
+        self.ends = np.cumsum([0, *map(len, own)])
+        self.names = pa.array(t["item_id"].to_pylist(), pa.string()).dictionary_encode()
+        self.items = np.append(at, len(words))  # where each window's items begin among the names
+        order = h[at].view(np.uint64)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for s in np.unique(size[at]).tolist():
+            mine = np.flatnonzero(size[at] == s)
+            mine = mine[np.argsort(order[mine], kind="stable")]
+            self.by_size[s] = (order[mine], mine)
+        #: A bit table of the first bits of all hashes, which lets few others through.
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[order >> np.uint64(42)] = True
+
+    def nbytes(self) -> int:
+        arrays = [self.ends, self.items, self.bits, *(x for pair in self.by_size.values() for x in pair)]
+        return len(self.words) + self.names.nbytes + sum(a.nbytes for a in arrays)
+
+    def _items(self, k: int) -> list:
+        return self.names.slice(self.items[k], self.items[k + 1] - self.items[k]).to_pylist()
 
     def hits(self, w) -> Iterator[tuple[int, int, list]]:
         """(word, size, items) of each window that occurs, in `w`."""
-        if not self.words:
+        if not self.by_size:
             return
         low = None
-        for size, h in window_hashes(w.hashes(), max(self.words)):
-            if size not in self.words:
+        for size, h in window_hashes(w.hashes(), max(self.by_size)):
+            if size not in self.by_size:
                 continue
-            at = np.flatnonzero(self.bits[size][h >> np.uint64(42)])
+            at = np.flatnonzero(self.bits[h >> np.uint64(42)])
             at = at[w.row[at] == w.row[at + size - 1]]
-            known = self.words[size]
-            for i, x in zip(at.tolist(), h[at].tolist(), strict=True):
-                if (found := known.get(x)) is not None:
-                    low = w.low.tobytes() if low is None else low
-                    words = b" ".join([low[a:b] for a, b in zip(w.start[i : i + size].tolist(), w.end[i : i + size].tolist(), strict=True)])
-                    if words in found:
-                        yield i, size, found[words]
+            known, window = self.by_size[size]
+            first, last = np.searchsorted(known, h[at], "left"), np.searchsorted(known, h[at], "right")
+            for j in np.flatnonzero(first < last).tolist():
+                low, i = w.low.tobytes() if low is None else low, int(at[j])
+                words = _joined(low, w, i, size)
+                for k in window[first[j] : last[j]].tolist():
+                    if words == self.words[self.ends[k] : self.ends[k + 1]]:
+                        yield i, size, self._items(k)
+
+
+def _joined(low: bytes, w, i: int, size: int) -> bytes:
+    return b" ".join([low[a:b] for a, b in zip(w.start[i : i + size].tolist(), w.end[i : i + size].tolist(), strict=True)])
 
 
 def _scan(w, hits) -> tuple[np.ndarray, list[set]]:
@@ -126,10 +149,11 @@ def _measure(ids: pa.Array, w, hit: np.ndarray, items: list) -> pa.RecordBatch:
 
 def _window_set(spark: SparkSession, windows: DataFrame, max_windows: int, max_bytes: int):
     """A broadcast set, or None if it is beyond the bounds."""
-    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
-    if n > max_windows or size > max_bytes:
+    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("words") + F.coalesce(F.length("item_id"), F.lit(0))), F.lit(0))).first()
+    if n > max_windows or size > max_bytes:  # before anything comes to the driver
         return None
-    return spark.sparkContext.broadcast(WindowSet(tuple(r) for r in windows.collect()))
+    made = WindowSet(windows.toArrow())
+    return spark.sparkContext.broadcast(made) if made.nbytes() <= max_bytes else None
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -170,54 +194,63 @@ def _by_join(scratch: Scratch, read: DataFrame, windows: DataFrame, width: int,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, most=_CHUNK):
             w = find_words(*text_bytes(b.column("text")), ALNUM)
-            yield _measure(b.column("doc_id"), w, *_scan(w, _joined_hits(w, b.column("hits"))))
+            yield _measure(b.column("doc_id"), w, *_scan(w, _verified(w, b.column("hits"))))
 
     return joined.select("doc_id", "text", "hits").mapInArrow(scan, schema)
 
 
-def _joined_hits(w, hits: pa.Array) -> list[tuple[int, int, list]]:
-    """(word, size, items) of each window, from each text's own."""
-    first = np.concatenate([[0], np.cumsum(w.n)])
-    return [(int(first[t]) + x["at"], x["size"], x["items"] or [None]) for t, own in enumerate(hits.to_pylist()) for x in own or ()]
+def _verified(w, hits: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """(word, size, items) of each window that occurs, from each text's own places and the windows with their hashes."""
+    first, low = np.concatenate([[0], np.cumsum(w.n)]), w.low.tobytes()
+    for t, own in enumerate(hits.to_pylist()):
+        for x in own or ():
+            i = int(first[t]) + x["at"]
+            words = _joined(low, w, i, x["size"])
+            for known in x["windows"]:
+                if known["words"] == words:
+                    yield i, x["size"], known["items"] or [None]
 
 
 def _found(scratch: Scratch, rows: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """row and hits (at, size, items) of the rows (row, text) in which windows occur."""
+    """row and hits (at, size, windows with the hash) of the rows (row, text) whose window hashes the items have."""
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # `width` values at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, most=_CHUNK // 4):
             w = find_words(*text_bytes(b.column("text")), ALNUM)
-            row, low = b.column("row").to_numpy(), w.low.tobytes()
+            row = b.column("row").to_numpy()
             first = np.concatenate([[0], np.cumsum(w.n)])[:-1]
             for size, h in window_hashes(w.hashes(), width):
                 if size in sizes:
                     at = np.arange(len(h))
                     at = at[w.row[at] == w.row[at + size - 1]]
-                    words = [b" ".join(low[x:y] for x, y in zip(w.start[i : i + size].tolist(), w.end[i : i + size].tolist(), strict=True)) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[w.row[at]]), pa.array(at - first[w.row[at]], pa.int64()), pa.array(_signed(h[at])), pa.array([size] * len(at), pa.int32()), pa.array(words, pa.binary())], ["row", "at", "hash", "size", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(row[w.row[at]]), pa.array(at - first[w.row[at]], pa.int64()), pa.array(_signed(h[at])), pa.array([size] * len(at), pa.int32())], ["row", "at", "hash", "size"])
 
-    seen = rows.mapInArrow(emit, "row long, at long, hash long, size int, words binary")
+    seen = rows.mapInArrow(emit, "row long, at long, hash long, size int")
+    known = windows.select("size", "hash").distinct()
+    hit = scratch.keep(seen.join(known, ["size", "hash"], "left_semi"))
     # The items of a window in one list: it holds no more ids than the benchmark has items with that window.
     meaning = windows.groupBy("size", "hash", "words").agg(F.collect_set("item_id").alias("items"))
-    found = seen.join(scratch.keep(meaning), ["size", "hash", "words"]).groupBy("row").agg(F.collect_list(F.struct("at", "size", "items")).alias("hits"))
+    meaning = scratch.keep(meaning.groupBy("size", "hash").agg(F.collect_list(F.struct("words", "items")).alias("windows")))
+    found = hit.join(meaning, ["size", "hash"]).groupBy("row").agg(F.collect_list(F.struct("at", "size", "windows")).alias("hits"))
     return scratch.keep(found)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", width: int = WIDTH, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, join_beyond: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", width: int = WIDTH, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, join_beyond: bool = True) -> DataFrame:
     """`docs` with its own columns, without what the items leak into it.
 
     mode "documents" leaves out every row with a hit word; mode "spans" keeps all rows and cuts each run of hit words
     out of the text. Rows without a hit stay as they are, null texts among them. Items beyond the broadcast
-    bounds raise ValueError, or with join_beyond are found by the join that contamination() uses.
+    bounds are found by the join that contamination() uses; without join_beyond they raise ValueError.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    windows = item_windows(items, width, item_id, item_text).persist()
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    windows = scratch.keep(item_windows(items, width, item_id, item_text))
     known = _window_set(docs.sparkSession, windows, max_windows, max_bytes)
     joined = known is None
     if joined and not join_beyond:
-        raise ValueError("the items are beyond the broadcast bounds; use join_beyond or filter by contamination()")
+        raise ValueError("the items are beyond the broadcast bounds")
     at = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +258,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", wi
             data, offsets = text_bytes(b.column(at))
             w = find_words(data, offsets, ALNUM)
             if joined:  # the last column holds the hits
-                hit, _ = _scan(w, _joined_hits(w, b.column(b.num_columns - 1)))
+                hit, _ = _scan(w, _verified(w, b.column(b.num_columns - 1)))
                 b = b.select(list(range(b.num_columns - 1)))
             else:
                 hit, _ = _scan(w, known.value.hits(w))
@@ -240,10 +273,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", wi
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     if joined:
-        scratch = Scratch(docs.sparkSession, "decontaminate")
         rows = scratch.keep(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")))
         found = _found(scratch, rows.select("row", F.col("doc")[text].alias("text")), windows, width)
         return rows.join(found, "row", "left").select("doc.*", "hits").mapInArrow(clean, docs.schema)
+    scratch.drop(windows)
     return docs.mapInArrow(clean, docs.schema)
 
 

@@ -188,6 +188,17 @@ def _times(i: Column) -> Column:
     return F.col("whole") + F.when((i < F.col("more")) | ((i == F.col("more")) & (F.col("hit") == 1)), 1).otherwise(0)
 
 
+def _numbered(units: DataFrame) -> DataFrame:
+    """A row with its place i for each of the `same` rows of a unit, which may be a large part of all rows.
+
+    They are dealt out in stretches, so no array is longer than one and no task has all rows of a unit.
+    """
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1, F.lit(BLOCK).cast("long")))
+    dealt = units.withColumn("begin", begin).repartition("doc_id", "begin")
+    i = F.explode(F.sequence(F.col("begin"), F.least(F.col("same"), F.col("begin") + BLOCK) - 1))
+    return dealt.withColumn("i", i).drop("begin")
+
+
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """One row per row of `docs`: doc_id, size, source_size, target, taken, source, times.
 
@@ -197,7 +208,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.keep(sizes(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")), "text", "doc_id", "source"))
-    rows = mix(sized, scratch, **how).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
+    rows = _numbered(mix(sized, scratch, **how))
     times = _times(F.col("i"))
     return rows.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), "source", times.alias("times"))
 

@@ -246,27 +246,26 @@ def links(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET, refine: int =
     return out
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root: the smallest node reachable, for every node with a link; by alternating large and small stars."""
     edges = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = sign(edges)
-    for _ in range(most):
+    while True:  # each round brings every tree nearer to a star; nothing changes once all are
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = scratch.keep(small)
         now = sign(new)
-        scratch.drop(edges, least, large, low)
+        scratch.drop(edges, large)
         edges = new
         if now == was:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         was = now
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, refine: int = REFINE) -> DataFrame:
@@ -279,10 +278,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs, doc_id, text))
     first = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    star = scratch.keep(components(links(first.select("fp"), scratch, bucket, refine), scratch))
+    star = components(links(first.select("fp"), scratch, bucket, refine), scratch)
     ends = star.select(F.col("node").alias("fp"), "root").unionByName(star.select(F.col("root").alias("fp"), "root").distinct())
     grouped = first.join(ends, "fp")
-    least = scratch.keep(grouped.groupBy("root").agg(F.min("first").alias("least")))
+    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     moved = scratch.keep(ends.join(least, "root").select("fp", "least"))
     named = scratch.keep(first.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -312,7 +311,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _roots_without_id(lost: DataFrame, nameless: DataFrame, own: dict, scratch: Scratch) -> DataFrame:
     """One row of each component among rows that have no id, where the component has none."""
-    star = scratch.keep(components(links(nameless, scratch), scratch))
+    star = components(links(nameless, scratch), scratch)
     root = nameless.join(star, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     best = F.min(F.struct("_text", *own.values())).alias("row")
     prints = fingerprints(lost.select("_text").distinct(), "_text", "_text").select(F.col("doc_id").alias("_text"), "fp")

@@ -1,19 +1,18 @@
 """Token-id output in training order.
 
-Texts become token ids, cut into sequences of one length. Written once, the sequences have an index: their place in that
-table. A keyed Feistel network permutes the indices, walking along its cycles until it is back among them, so every
-sequence has its own global slot and slots run without a gap. Sequences then move to the partition of their slot, one
-partition for each shard; in a shard sequence i stands at byte i * stride, so a reader finds any slot by arithmetic and
-resumes where it stopped.
+Documents are sorted in ranges by id, then text. Their texts become token ids, cut into sequences of one length, and a
+sequence's index is its place in that order, which depends on nothing but the rows. A keyed Feistel network permutes the
+indices, walking along its cycles until it is back among them, so every sequence has its own global slot and slots run
+without a gap. Sequences then move to the partition of their slot, one partition for each shard; in a shard sequence i
+stands at byte i * stride, so a reader finds any slot by arithmetic and resumes where it stopped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import re
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,9 @@ LENGTH, PER_SHARD, KEY, ROUNDS = 512, 16384, 0x5EED, 6
 #: Words whose ids a task remembers.
 MAX_CACHE = 300_000
 _DTYPE = np.dtype("<u2")
+#: The vocabulary's white space, and runs of it that its pattern's search would take too deep.
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANK = re.compile(rf"(?<!{_BLANK}){_BLANK}{{1000,}}")
 
 
 def vocabulary(path: str = f"{TOKENIZER_FOLDER}/{VOCABULARY}") -> dict[bytes, int]:
@@ -45,9 +47,21 @@ class Encoder:
 
         if max(ranks.values(), default=0) > 0xFFFF:
             raise ValueError("ids must fit in 16 bits")
-        self.whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text. A long run of white space is one piece, but for its last character where a word follows."""
+        if len(text) < 1000:
+            return self.encoding.encode_ordinary(text)
+        out, at = [], 0
+        for m in _LONG_BLANK.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
+
     def encode(self, text: str) -> bytes:
         # Pieces never run over a single space between two words, so such words can be encoded each for itself.
         if "  " in text or text[:1].isspace() or text[-1:].isspace() or not text:
@@ -122,13 +136,18 @@ def training_order(docs: DataFrame, ranks: dict[bytes, int], key: int = KEY, len
     """Every sequence in its place: slot, shard, at (its byte in the shard), doc_id, chunk, n_tokens, ids.
 
     A partition of the result holds one shard, in order of slots; every shard but the last is full. Slots depend on the
-    key, the number of sequences and the order of the input's files. Repeated rows are sequences each for itself; other
-    columns are ignored; an empty table gives an empty result.
+    key and on the documents' ids and texts, not on how the rows are dealt. Repeated rows are sequences each for itself;
+    null ids come first; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
 
-    cut = sequences(docs, ranks, end, length, doc_id, text)
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    # Equal rows go by their place as read, so that many of them still spread; among them the order makes no difference.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = read.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", F.xxhash64("text"), "_at").sortWithinPartitions(*order)
+    cut = sequences(placed, ranks, end, length)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name not in ("part", "row"))
     written = scratch.keep(cut, "zstd")
     counts = {r.part: r.n for r in written.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one for each partition
@@ -147,36 +166,46 @@ def training_order(docs: DataFrame, ranks: dict[bytes, int], key: int = KEY, len
     return placed.repartitionById(max(1, -(-total // per_shard)), F.col("shard").cast("int")).sortWithinPartitions("slot")
 
 
+def _store(folder: str):
+    """The file system of a URI or plain path, and the path in it."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    except (OSError, pa.ArrowInvalid) as e:
+        raise ValueError(f"no store that binary shards can be written to: {folder}") from e
+
+
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """Write what training_order returns as shard-NNNNNN.bin of fixed stride; returns shard, first_slot, n, sha256.
 
-    `folder` is a file: path or a plain one that all executors mount. A shard is written beside its place and moved
-    there at once, so a task that runs twice leaves the same file. For stores that only Spark writes to, write the frame
-    itself: its partitions are the shards.
+    `folder` is a URI of a store that pyarrow writes to (file, s3, gs, abfs, hdfs) or a plain path that all executors
+    mount. Where files can be moved, a shard is written beside its place and moved there at once; in an object store it
+    is there once it is closed. So a task that runs twice leaves the same file.
     """
-    place = urlparse(folder)
-    if place.scheme not in ("", "file"):
-        raise ValueError("binary shards need a mounted folder; elsewhere write the ordered frame itself")
-    to = place.path
-    os.makedirs(to, exist_ok=True)
+    store, to = _store(folder)
+    store.create_dir(to, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, digest, n, first, f = None, hashlib.sha256(), 0, None, None
-        temporary = f"{to}/.{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
+        store, to = _store(folder)
+        moves = store.type_name in ("local", "hdfs")
         for b in batches:
             for shard, slot, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "ids")), strict=True):
                 if f is None:
-                    os.makedirs(to, exist_ok=True)
-                    f, own, first = open(temporary, "wb"), shard, slot  # noqa: SIM115
+                    own, first, name = shard, slot, f"{to}/shard-{shard:06d}.bin"
+                    path = f"{to}/.{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}" if moves else name
+                    f = store.open_output_stream(path)
                 assert shard == own and slot == first + n and len(ids) == length * _DTYPE.itemsize
                 f.write(ids)
                 digest.update(ids)
                 n += 1
         if f is not None:
             f.close()
-            os.replace(temporary, f"{to}/shard-{own:06d}.bin")
+            if moves:
+                store.move(path, name)
             yield pa.RecordBatch.from_pydict({"shard": [own], "first_slot": [first], "n": [n], "sha256": [digest.hexdigest()]})
 
     return ordered.mapInArrow(write, "shard long, first_slot long, n long, sha256 string")
@@ -184,10 +213,12 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataF
 
 def read_slots(folder: str, slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
     """The sequences from `slot` on, in order."""
-    to, stride = urlparse(folder).path, length * _DTYPE.itemsize
+    from pyarrow import fs
+
+    (store, to), stride = _store(folder), length * _DTYPE.itemsize
     shard, at = divmod(slot, per_shard)
-    while os.path.exists(path := f"{to}/shard-{shard:06d}.bin"):
-        with open(path, "rb") as f:
+    while store.get_file_info(path := f"{to}/shard-{shard:06d}.bin").type == fs.FileType.File:
+        with store.open_input_file(path) as f:
             f.seek(at * stride)
             while len(ids := f.read(stride)) == stride:
                 yield np.frombuffer(ids, _DTYPE)

@@ -59,8 +59,9 @@ def test_against_brute_force(case):
 def test_beyond_the_broadcast_bound(case):
     d, items, rows, raw = case
     assert sorted(map(tuple, contamination(d, items, max_windows=0).collect()), key=repr) == brute(rows, raw)
+    assert sorted(map(tuple, contamination(d, items, max_bytes=0).collect()), key=repr) == brute(rows, raw)
     with pytest.raises(ValueError):
-        decontaminate(d, items, max_windows=0)
+        decontaminate(d, items, max_windows=0, join_beyond=False)
 
 
 def test_modes(case):
@@ -86,7 +87,7 @@ def test_empty(spark, case):
 def test_modes_beyond_the_broadcast_bound(case):
     d, items, _, _ = case
     for mode in ("documents", "spans"):
-        within, beyond = decontaminate(d, items, mode), decontaminate(d, items, mode, max_windows=5, join_beyond=True)
+        within, beyond = decontaminate(d, items, mode), decontaminate(d, items, mode, max_windows=0)
         assert beyond.schema == within.schema
         assert sorted(map(tuple, beyond.collect()), key=repr) == sorted(map(tuple, within.collect()), key=repr)
 
@@ -100,3 +101,22 @@ def test_pipeline_stage_beyond_the_broadcast_bound(spark, case, tmp_path, monkey
     monkeypatch.setattr(decontaminate, "__defaults__", tuple(5 if x == MAX_WINDOWS else x for x in decontaminate.__defaults__))
     got = corpus_pipeline.drop_leaked(spark, d, str(tmp_path))
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in contamination(d, items).where("NOT contaminated").collect()}
+
+
+def test_memory_of_the_set_and_of_long_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from plumbline.llm.decontaminate import WindowSet
+    from plumbline.llm.words import ALNUM, find_words
+    import numpy as np
+
+    n = 50_000
+    t = pa.table({"size": pa.array([10] * n, pa.int32()), "hash": pa.array(np.random.default_rng(1).integers(0, 2**63, n)), "words": pa.array([b"some ten words of a window %d" % i for i in range(n)]), "item_id": [str(i // 40) for i in range(n)]})
+    assert WindowSet(t).nbytes() < 10_000_000
+    text = np.frombuffer(("word " * 2_000_000).encode(), np.uint8)
+    tracemalloc.start()
+    h = find_words(text, np.array([0, len(text)]), ALNUM).hashes()
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(text) and len(set(h[:9].tolist())) == 1
+    tracemalloc.stop()

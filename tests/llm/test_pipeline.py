@@ -71,3 +71,33 @@ def test_run_and_registration(spark, folder):
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert set(sql) <= set(q)
+
+
+def test_shards_are_read_from_the_middle(spark, folder, tmp_path):
+    from plumbline.llm.token_output import read_slots, write_shards
+
+    out = corpus_pipeline.run(spark, folder)
+    want = [bytes(r.ids) for r in out.orderBy("slot").collect()]
+    shards = write_shards(out.repartitionById(1 + out.agg({"shard": "max"}).first()[0], out.shard.cast("int")).sortWithinPartitions("slot"), f"file://{tmp_path}/shards").collect()
+    assert sum(s.n for s in shards) == len(want)
+    assert [r.tobytes() for r in read_slots(f"file://{tmp_path}/shards", len(want) // 2)] == want[len(want) // 2 :]
+
+
+def test_no_documents(spark, folder, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        (rows.limit(0) if name == "documents" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_scratch_goes_with_its_stage(spark, tmp_path):
+    from plumbline.llm.common import Scratch
+    from plumbline.sources.shared import collected
+
+    outer = Scratch(spark, "outer")
+    with collected():
+        inner = Scratch(spark, "inner")
+        kept = outer.keep(inner.keep(spark.range(3)))
+        path = inner.base
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert kept.count() == 3 and not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -1,11 +1,12 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, delete
-from plumbline.llm.token_counts import TokenLedger, changes, counted
+from plumbline.llm.token_counts import SQL_OP4, TokenLedger, changes, counted, op4_token_counts, token_counts_by_vocabulary
 from tests.llm.helpers import docs, odd_rows, prose
 
 
@@ -73,3 +74,47 @@ def test_stream(spark, rows, tmp_path):
         q = ledger.follow(spark.readStream.schema(schema).parquet(src), "s", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert sums(ledger.totals()) == brute(rows)
+
+
+def test_query_against_sql_with_odd_rows(spark, rows, tmp_path):
+    """Texts whose rows all lack an id, and ties, are counted by the same rule."""
+    odd = [*rows, (None, "only lost words", "a", "en"), (None, "only lost words", "b", None), (None, "lost and found", "b", "en"), (9, "lost and found", "a", None), (9, "lost and found", None, "en")]
+    docs(spark, odd).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(SQL_OP4)
+    cols = [c[0] for c in cur.description]
+    got = op4_token_counts(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_vocabulary_counts(spark, rows, tmp_path):
+    import tiktoken
+
+    from plumbline.llm.token_output import PATTERN, vocabulary
+
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary(), special_tokens={}).encode_ordinary
+    want = defaultdict(lambda: [0, 0])
+    for r in rows:
+        key = (r[2], r[3] if len(r) > 3 else "en", "byte_bpe_50k-1")
+        want[key][0] += 1
+        want[key][1] += len(encode(r[1] or ""))
+    assert sums(token_counts_by_vocabulary(spark, str(tmp_path))) == {k: tuple(v) for k, v in want.items()}
+
+
+def test_compaction_keeps_a_number_for_a_stream(spark, rows):
+    ledger = TokenLedger(spark, Scratch(spark, "t").path())
+    change = changes(counted(docs(spark, rows[-3:])), 1, "space-1")
+    for batch in ("s-0", "s-1", "other", "s-3"):
+        assert ledger.commit(batch, change)
+    before = sums(ledger.totals())
+    ledger.compact()
+    assert ledger._snapshot()[1] == {"s": 1, "other": None, "s-3": None} and ledger._whole("batches") == []
+    assert sums(ledger.totals()) == before and not any(ledger.commit(b, change) for b in ("s-0", "s-1", "other", "s-3"))
+    assert ledger.commit("s-2", change)
+    ledger.compact()
+    assert ledger._snapshot()[1] == {"s": 3, "other": None} and not ledger.commit("s-2", change) and ledger.commit("s-4", change)
+    for _ in range(3):
+        ledger.compact()
+    assert len(ledger._whole("folded")) == 2 and {k: (a * 6 // 4, b * 6 // 4) for k, (a, b) in before.items()} == sums(ledger.totals())

@@ -59,3 +59,28 @@ def test_round_trip(spark, ranks, tmp_path):
 
 def test_empty(spark, ranks):
     assert training_order(docs(spark, [(1, "x")]).limit(0), ranks).collect() == []
+
+
+def test_long_white_space(ranks):
+    plain, own, rng = whole(ranks), Encoder(ranks), random.Random(2)
+    blanks = [" ", "\n", "\t", "\u2003", "\xa0"]
+    for _ in range(60):  # short enough for the whole pattern
+        t = "".join(rng.choice(["word", "x1", "", "don't "]) + rng.choice(blanks) * rng.choice([1, 2, 999, 1000, 1500]) for _ in range(4)) + rng.choice(["", "end"])
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == plain.encode_ordinary(t)
+    for bad in ("\n" * 1_000_000, " " * 2_000_000 + "x", "a" + " \n" * 500_000 + "b"):
+        ids = np.frombuffer(own.encode(bad), "<u2").tolist()
+        assert plain.decode(ids) == bad
+
+
+def test_slots_don_t_depend_on_partitions(spark, ranks):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(0, 200))) for i in range(50)] + [(7, prose(rng, 30)), (8, "same"), (8, "same"), (None, "lost"), (None, "lost too"), (None, None)]
+    seen = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = training_order(docs(spark, rows, parts), ranks, length=16, per_shard=32).collect()
+        seen.append([(r.slot, r.shard, r.at, r.doc_id, r.chunk, r.n_tokens, bytes(r.ids)) for r in got])
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 300
