@@ -1,51 +1,81 @@
-"""Commands over a graph's folder: build, predict, query, status, checkup.
+"""Commands over a graph's folder: build, predict, query, status, observe, checkup.
 
     python -m plumbline.cli build RECORDS --manifest FILE --headers ROOT --out GRAPH
-    python -m plumbline.cli predict GRAPH 'socket(AF_INET, SOCK_STREAM, 0)' --format pretty
+    python -m plumbline.cli predict GRAPH 'socket(AF_INET, SOCK_STREAM, 0)' --format pretty --observations SEEN
     python -m plumbline.cli query GRAPH 'SELECT count(*) FROM calls'
     python -m plumbline.cli status GRAPH
-    python -m plumbline.cli checkup GRAPH OBSERVATIONS
+    python -m plumbline.cli observe GRAPH SEEN
+    python -m plumbline.cli checkup GRAPH SEEN
+
+A build's stages are written beside the graph, and one that is there whole isn't made again unless --force is given. The
+exit code is 1 where the graph is built but one of its alarms is raised.
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import constants, graph, records, report, stitch, subsystems, traverse
 from plumbline.sources import records as sources
-from plumbline.sources.shared import Scratch
+from plumbline.sources.shared import replace_table
 from plumbline.streaming import observations as obs
 
 FORMATS = {"pretty": report.pretty, "ftrace": report.function_graph, "compact": report.compact, "json": report.as_json}
 
 
-def build(spark: SparkSession, a: argparse.Namespace) -> None:
-    units, files = sources.read_units(spark, a.records)
+def build(spark: SparkSession, a: argparse.Namespace) -> int:
+    units, files = sources.read_units(spark, a.records, a.min_bytes)
     merged = records.merged_units(records.validated(units)[0])
     nodes, edges = records.unified(sources.read_nodes(spark, a.records), sources.read_edges(spark, a.records), merged)
+    if a.passes is None or a.passes > 0:  # the first pass; names are unique once the graph is loaded
+        nodes, edges = stitch.merge_stubs(nodes, edges)
     lines = sources.read_headers(spark, a.headers) if a.headers else spark.createDataFrame([], "path string, header_rank int, line_no int, text string")
-    scratch = Scratch(spark, "build")
-    nodes, edges = scratch.keep(nodes), scratch.keep(edges)
     if a.dry_run:
         files.groupBy("bad").count().show()
         nodes.groupBy("nodeType").count().show()
         edges.groupBy("edgeType").count().show()
-        return
-    found = scratch.keep(constants.extract_constants(lines).withColumn("ord", F.xxhash64("name")))
-    loaded = scratch.path()
-    graph.load(nodes, edges, found, a.root).save(loaded)
-    stitch.stitch(graph.read_graph(spark, loaded), a.passes).save(a.out)
-    report.health(graph.read_graph(spark, a.out), a.max_unresolved).show(vertical=True)
+        return 0
+    stage = lambda df, name: sources.write_stage(df, f"{a.out}.stages/{name}", a.force)
+    nodes, edges = stage(nodes, "nodes"), stage(edges, "edges")
+    found = stage(constants.extract_constants(lines), "constants")
+    if a.export:
+        sources.write_json_array(nodes, f"{a.export}/nodes_all", ["gid"])
+        sources.write_json_array(edges, f"{a.export}/edges_all", ["ord"])
+        sources.write_json_array(found, f"{a.export}/constants", ["name"])
+        sources.write_json_array(merged, f"{a.export}/gcc_merged", ["ord"])
+    # A constant has one value by now, so that any order will do.
+    made = graph.load(nodes, edges, found.withColumn("ord", F.lit(0).cast("long")), a.root)
+    loaded = graph.CodeGraph(**{name: stage(df, f"loaded/{name}") for name, df in made.frames().items()})
+    if broken := graph.broken_keys(loaded):
+        raise ValueError(f"keys that don't identify rows: {broken}")
+    stitch.stitch(loaded, None if a.passes is None else max(0, a.passes - 1)).save(a.out)
+    health = report.health(graph.read_graph(spark, a.out), a.max_unresolved)
+    health.show(vertical=True)
     if a.manifest:
-        subsystems.subsystems(sources.read_manifest(spark, a.manifest), a.root, a.depth, a.min_files).show(truncate=False)
+        listed = subsystems.subsystems(sources.read_manifest(spark, a.manifest), a.root, a.depth, a.min_files)
+        listed.show(truncate=False)
+        if a.subsystems:
+            listed.select("path").write.mode("overwrite").text(a.subsystems)
+    return 0 if health.first().ok else 1
+
+
+def _seen(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """Observations: caller_fn, call_site, hit_fn, ts."""
+    return spark.read.parquet(path) if path else None
+
+
+def _now() -> Column:
+    return F.lit(int(time.time())).cast("long")
 
 
 def predict(spark: SparkSession, a: argparse.Namespace) -> None:
-    p = traverse.predict(graph.read_graph(spark, a.graph), a.call, max_depth=a.max_depth, max_steps=a.max_steps, infra_threshold=a.infra_threshold)
+    how = {"max_depth": a.max_depth, "max_steps": a.max_steps, "infra_threshold": a.infra_threshold, "prefer_indexed": a.prefer_indexed}
+    p = traverse.predict(graph.read_graph(spark, a.graph), a.call, observations=_seen(spark, a.observations), **how)
     print(FORMATS[a.format](p))
 
 
@@ -59,17 +89,22 @@ def status(spark: SparkSession, a: argparse.Namespace) -> None:
     report.status(graph.read_graph(spark, a.graph)).show(vertical=True)
 
 
+def observe(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Add an edge for each call site that was observed and has no such edge yet."""
+    g = graph.read_graph(spark, a.graph)
+    replace_table(spark, obs.record_observations(g.resolves, _seen(spark, a.observations), _now()), f"{a.graph}/resolves")
+
+
 def checkup(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Edges that were observed become stale, then those that were seen again are verified."""
+    """Edges past their time become stale, with --all every observed one; those that were seen again are verified."""
     g = graph.read_graph(spark, a.graph)
-    now = F.lit(int(time.time())).cast("long")
-    old = obs.mark_stale(g.resolves)
-    new = obs.checkup(old, spark.read.parquet(a.observations), now)
+    old = obs.mark_stale(g.resolves) if a.all else obs.expire(g.resolves, _now())
+    new = obs.checkup(old, _seen(spark, a.observations), _now())
     obs.checkup_counts(old, new).show()
-    new.write.mode("overwrite").parquet(f"{a.graph}/resolves_next")
+    replace_table(spark, new, f"{a.graph}/resolves")
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="plumbline")
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build")
@@ -82,6 +117,10 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--min-files", type=int, default=1)
     b.add_argument("--passes", type=int)
     b.add_argument("--max-unresolved", type=float, default=30.0)
+    b.add_argument("--min-bytes", type=int, default=0, help="unit files that are smaller are no whole inputs")
+    b.add_argument("--export", help="a folder for the records as JSON arrays")
+    b.add_argument("--subsystems", help="a folder for the list of subsystems")
+    b.add_argument("--force", action="store_true", help="make every stage again")
     b.add_argument("--dry-run", action="store_true")
     q = sub.add_parser("predict")
     q.add_argument("graph")
@@ -90,17 +129,23 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("--max-depth", type=int, default=30)
     q.add_argument("--max-steps", type=int, default=500)
     q.add_argument("--infra-threshold", type=int, default=20)
+    q.add_argument("--prefer-indexed", action="store_true")
+    q.add_argument("--observations", help="a table of what probes saw: caller_fn, call_site, hit_fn, ts")
     s = sub.add_parser("query")
     s.add_argument("graph")
     s.add_argument("sql")
     s.add_argument("--limit", type=int, default=1000)
     sub.add_parser("status").add_argument("graph")
+    o = sub.add_parser("observe")
     c = sub.add_parser("checkup")
-    c.add_argument("graph")
-    c.add_argument("observations")
+    for x in (o, c):
+        x.add_argument("graph")
+        x.add_argument("observations")
+    c.add_argument("--all", action="store_true")
     a = p.parse_args(argv)
-    {"build": build, "predict": predict, "query": query, "status": status, "checkup": checkup}[a.command](SparkSession.builder.getOrCreate(), a)
+    run = {"build": build, "predict": predict, "query": query, "status": status, "observe": observe, "checkup": checkup}[a.command]
+    return run(SparkSession.builder.getOrCreate(), a) or 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

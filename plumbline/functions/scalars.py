@@ -53,6 +53,10 @@ def parse_call(expr: Column) -> Column:
 
 def int_literal(text: Column) -> Column:
     """A decimal, 0x, 0o or 0b literal with an optional sign; a leading zero and what exceeds 64 bits give null."""
+    return F.when(text.rlike(r"^-?(0|[1-9][0-9]*)$"), text.try_cast("bigint")).otherwise(_any_literal(text))
+
+
+def _any_literal(text: Column) -> Column:
     t = F.lower(strip(text))
     sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     body = F.regexp_replace(t, r"^[+-]", "")
@@ -209,28 +213,25 @@ def strip_comments(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"/\*.*?\*/", ""), r"//.*", "")
 
 
-NAME = "[A-Z_][A-Z0-9_]*"
-INTEGER = r"0[xX][0-9a-fA-F]+|-?\d+"
+# What a line of a header has to look like.
+DEFINE_INT = r"^\s*#\s*define\s+([A-Z_][A-Z0-9_]*)\s+(0[xX][0-9a-fA-F]+|-?\d+)\s*(?:/\*.*\*/)?\s*$"
+DEFINE_ALIAS = r"^\s*#\s*define\s+([A-Z_][A-Z0-9_]*)\s+([A-Z_][A-Z0-9_]*)\s*$"
+ENUM_ENTRY = r"^\s*([A-Z_][A-Z0-9_]*)(?:\s*=\s*(0[xX][0-9a-fA-F]+|-?\d+)\s*,?)?"
 
 
 def define_int(line: Column) -> Column:
     """A line that defines a name as an integer literal: struct(name, value)."""
-    p = rf"^\s*#\s*define\s+({NAME})\s+({INTEGER})\s*(?:/\*.*\*/)?\s*$"
-    return F.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).alias("name"), int_literal(F.regexp_extract(line, p, 2)).alias("value")))
+    return F.when(line.rlike(DEFINE_INT), F.struct(F.regexp_extract(line, DEFINE_INT, 1).alias("name"), int_literal(F.regexp_extract(line, DEFINE_INT, 2)).alias("value")))
 
 
 def define_alias(line: Column) -> Column:
     """A line that defines a name as another: struct(name, ref)."""
-    p = rf"^\s*#\s*define\s+({NAME})\s+({NAME})\s*$"
-    return F.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).alias("name"), F.regexp_extract(line, p, 2).alias("ref")))
+    return F.when(line.rlike(DEFINE_ALIAS), F.struct(F.regexp_extract(line, DEFINE_ALIAS, 1).alias("name"), F.regexp_extract(line, DEFINE_ALIAS, 2).alias("ref")))
 
 
-def enum_entry(line: Column) -> Column:
-    """A line of an enum block: struct(name, value, explicit); value is null where it has to be counted."""
-    p = rf"^\s*({NAME})\s*=\s*({INTEGER})\s*,?"
-    name = group(line, rf"^\s*({NAME})")
-    explicit = line.rlike(p)
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), F.when(explicit, int_literal(F.regexp_extract(line, p, 2))).alias("value"), explicit.alias("explicit")))
+def enum_parts(line: Column) -> dict[str, Column]:
+    """A line of an enum block: name, and the literal it is given; each is empty where there is none."""
+    return {"name": F.regexp_extract(line, ENUM_ENTRY, 1), "literal": F.regexp_extract(line, ENUM_ENTRY, 2)}
 
 
 # Numbers

@@ -11,25 +11,26 @@ from plumbline.sources.shared import Scratch
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
-    """path, blocks: the lines that open and close each enum of a file.
+    """`lines` (path, line_no, clean) with start, the line that opened the enum a line is in, and edge.
 
-    A line with `enum` opens unless one is open; a line with `}` closes one; only such lines are gathered.
+    A line with `enum` opens a block unless one is open; a line with `}` closes one. start is null outside; the lines that
+    open and close a block are edges of it. After a line with one of the marks the state is known; a line with both turns
+    it round; so it follows from the last line with one mark and the number of those with both since. One sort by path.
     """
     opens, closes = F.col("clean").rlike(r"\benum\b"), F.col("clean").contains("}")
-    marks = lines.where(opens | closes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", opens.alias("opens"), closes.alias("closes")))).alias("marks"))
-    kind = "array<struct<start:int,end:int>>"
-    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("int").alias("open"))
-
-    def step(acc, m):
-        block = F.struct(acc["open"].alias("start"), m["line_no"].alias("end"))
-        return (
-            F.when(acc["open"].isNull() & m["opens"], F.struct(acc["done"].alias("done"), m["line_no"].alias("open")))
-            .when(acc["open"].isNotNull() & m["closes"], F.struct(F.array_append(acc["done"], block).alias("done"), F.lit(None).cast("int").alias("open")))
-            .otherwise(F.struct(acc["done"].alias("done"), acc["open"].alias("open")))
-        )
-
-    rest = lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["open"].alias("start"), F.lit(2**31 - 1).alias("end"))))
-    return marks.select("path", F.aggregate("marks", zero, step, rest).alias("blocks"))
+    w = Window.partitionBy("path").orderBy("line_no")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumns({"_one": F.when(opens != closes, opens), "_both": (opens & closes).cast("int")})
+    counted = marked.withColumn("_turns", F.sum("_both").over(so_far))
+    base = F.last(F.when(F.col("_one").isNotNull(), F.struct("_one", "_turns")), ignorenulls=True).over(so_far)
+    state = counted.withColumn("_base", base)
+    turned = (F.col("_turns") - F.coalesce("_base._turns", F.lit(0))) % 2 == 1
+    state = state.withColumn("_after", F.coalesce("_base._one", F.lit(False)) != turned)
+    state = state.withColumn("_before", F.lag("_after", 1, False).over(w))
+    inside = F.col("_before") | F.col("_after")
+    start = F.last(F.when(F.col("_after") & ~F.col("_before"), F.col("line_no")), ignorenulls=True).over(so_far)
+    out = state.withColumn("start", F.when(inside, start)).withColumn("edge", inside & (F.col("_before") != F.col("_after")))
+    return out.drop("_one", "_both", "_turns", "_base", "_after", "_before")
 
 
 def definitions(lines: DataFrame, strict_c: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -40,19 +41,19 @@ def definitions(lines: DataFrame, strict_c: bool = False) -> tuple[DataFrame, Da
     counted. With strict_c an entry whose value isn't a plain literal has no value rather than a counted one.
     """
     clean = lines.withColumn("clean", S.strip_comments(F.col("text")))
-    placed = clean.join(_blocks(clean), "path", "left")
+    placed = _blocks(clean)
     no = F.col("line_no")
-    within = F.filter("blocks", lambda b: (b["start"] <= no) & (no <= b["end"]))
-    placed = placed.withColumn("block", F.get(within, 0)).drop("blocks")
-    inside = placed.where("block IS NOT NULL AND block.start < line_no AND line_no < block.end").withColumn("e", S.enum_entry(F.col("clean")))
-    counted = inside.where(F.col("e").isNotNull() & (~F.col("e.explicit") | F.col("e.value").isNotNull()))
+    entry = S.enum_parts(F.col("clean"))
+    inside = placed.where("start IS NOT NULL AND NOT edge").select("path", "header_rank", "line_no", "start", "clean", *(c.alias(k) for k, c in entry.items())).where("name <> ''")
+    inside = inside.withColumn("value", F.when(F.col("literal") != "", S.int_literal(F.col("literal"))))
+    counted = inside.where("literal = '' OR value IS NOT NULL")
     if strict_c:
-        counted = counted.where(F.col("e.explicit") | ~F.col("clean").contains("="))
-    w = Window.partitionBy("path", "block").orderBy("line_no")
+        counted = counted.where((F.col("literal") != "") | ~F.col("clean").contains("="))
+    w = Window.partitionBy("path", "start").orderBy("line_no")
     counted = counted.withColumn("rn", F.row_number().over(w))
-    base = F.last(F.col("e.value") - F.col("rn"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    enums = counted.select("path", "header_rank", F.col("e.name").alias("name"), (F.coalesce(base, F.lit(-1)) + F.col("rn")).alias("value"), F.lit(0).alias("kind"), (-no).alias("at"))
-    outside = placed.where("block IS NULL")
+    base = F.last(F.col("value") - F.col("rn"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    enums = counted.select("path", "header_rank", "name", (F.coalesce(base, F.lit(-1)) + F.col("rn")).alias("value"), F.lit(0).alias("kind"), (-no).alias("at"))
+    outside = placed.where("start IS NULL")
     d = outside.withColumn("d", S.define_int(F.col("clean"))).where("d.value IS NOT NULL").select("path", "header_rank", "d.name", "d.value", F.lit(1).alias("kind"), no.alias("at"))
     values = first_wins(enums.unionByName(d), ["path", "header_rank", "name"], ["kind", "at"]).select("path", "header_rank", "name", "value")
     number = S.define_int(F.col("clean")).isNull()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.functions import scalars as S
-from plumbline.operators.dedup import fill, filled, first_wins, latest, sticky, upsert
+from plumbline.operators.dedup import fill, filled, latest, sticky, upsert
 
 
 @dataclass(frozen=True)
@@ -191,9 +191,16 @@ def load(nodes: DataFrame, edges: DataFrame, constant_rows: DataFrame, root: str
     )
 
 
-def missing_keys(rows: DataFrame, *keys: str) -> DataFrame:
-    """How many rows lack a part of their key, by the part."""
-    return rows.agg(*(F.count_if(F.col(k).isNull() | (F.col(k) == "")).alias(k) for k in keys))
+#: What identifies the rows of each table.
+KEYS = {
+    "functions": ("name",),
+    "parameters": ("functionName", "position"),
+    "constants": ("name",),
+    "indirect_calls": ("callerFunction", "callExpression"),
+    "calls": ("callerFn", "calleeFn"),
+    "flows": ("callerFn", "calleeFn", "callerArgPos", "calleeParamPos"),
+    "indirect_edges": ("callerFn", "callExpression"),
+}
 
 
 def check_unique(df: DataFrame, *key: str) -> bool:
@@ -201,6 +208,11 @@ def check_unique(df: DataFrame, *key: str) -> bool:
     return df.groupBy(*key).count().where("count > 1").isEmpty()
 
 
+def broken_keys(g: CodeGraph) -> list[str]:
+    """Tables whose key doesn't identify their rows."""
+    return [name for name, key in KEYS.items() if not check_unique(getattr(g, name), *key)]
+
+
 def bulk_caller_counts(calls_: DataFrame, threshold: int = 20) -> DataFrame:
     """Functions with more than `threshold` distinct callers."""
     distinct = calls_.select("calleeFn", "callerFn").distinct()
@@ -218,6 +230,3 @@ def entry_function(functions_: DataFrame, call: str) -> str | None:
     found = first_existing(functions_.sparkSession.createDataFrame([(call,)], "call string"), functions_).first()
     return found and found.name
 
-
-def dedup_edges(df: DataFrame, *key: str) -> DataFrame:
-    return first_wins(df, list(key))

@@ -21,6 +21,15 @@ def branch_points(ifs: DataFrame) -> DataFrame:
     )
 
 
+def functions(methods: DataFrame) -> DataFrame:
+    """name, fullName, file, line, signature, isExternal of parsed methods -> Function; what is lacking is empty or -1."""
+    none = F.lit("")
+    return methods.select(
+        F.lit("Function").alias("nodeType"), "name", F.coalesce("fullName", none).alias("fullName"), F.coalesce("file", none).alias("file"), F.coalesce("line", F.lit(-1)).alias("line"),
+        F.coalesce("signature", none).alias("signature"), F.coalesce("isExternal", F.lit(False)).alias("isExternal"), F.lit("joern").alias("source"), "ord",
+    )
+
+
 def parameters(methods: DataFrame) -> DataFrame:
     """name, params (array of name, type in order) -> Parameter with positions from 0."""
     return methods.select("name", F.posexplode("params").alias("position", "p"), "ord").select(F.col("name").alias("functionName"), F.col("p.name").alias("name"), "position", F.col("p.type").alias("typeFullName"), "ord")
@@ -36,6 +45,11 @@ def call_edges(calls: DataFrame) -> DataFrame:
     return each.where(~F.col("calleeFn").startswith("<operator>") & ~F.col("calleeFn").startswith("__builtin_")).withColumn("source", F.lit("joern"))
 
 
+def indirect_calls(calls: DataFrame) -> DataFrame:
+    """caller, code, file, line, callees, methodFullName -> IndirectCall of every call through a pointer."""
+    return calls.where(is_indirect()).select(F.lit("IndirectCall").alias("nodeType"), F.col("caller").alias("callerFunction"), F.col("code").alias("callExpression"), "file", "line", "ord")
+
+
 def indirect_call_edges(calls: DataFrame) -> DataFrame:
     """caller, code, file, line, callees, methodFullName, args (array of ord, code) -> IndirectCallEdge."""
     codes = F.transform(F.array_sort("args"), lambda a: a["code"])
@@ -78,6 +92,30 @@ def described_call(var: Column, obj: Column, field: Column, deref: Column) -> Co
     return F.when(field.isNotNull(), F.concat(F.coalesce(obj, F.lit("")), F.lit("->"), field, F.lit("()"))).when(deref & var.isNotNull(), F.concat(F.lit("(*"), var, F.lit(")()"))).otherwise("<indirect_call>")
 
 
+def compiler_calls(calls: DataFrame) -> DataFrame:
+    """callerFn, calleeFn or var, obj, field, deref, and file, line, argCount -> CallEdge, or IndirectCall as it is written."""
+    direct = F.col("calleeFn").isNotNull()
+    written = described_call(F.col("var"), F.col("obj"), F.col("field"), F.coalesce("deref", F.lit(False)))
+    return calls.select(
+        F.when(direct, "CallEdge").otherwise("IndirectCall").alias("type"), "callerFn", "calleeFn", F.when(~direct, written).alias("callExpr"), "file", "line", F.when(~direct, F.col("argCount")).alias("argCount"), "ord"
+    )
+
+
+def runtime_assignments(assigns: DataFrame) -> DataFrame:
+    """place ("field", "slot", "variable", "deref"), base, member, slot, targetFn, file, line -> FnPtrAssignment.
+
+    A field goes by its struct and name, a slot by its array, whose field is `[]`, and number; a variable by its own
+    name, what a pointer points to by the pointer's with a star. Without a known function there is no assignment.
+    """
+    place = F.col("place")
+    field = F.when(place == "field", F.col("member")).when(place == "slot", "[]").when(place == "variable", F.col("base")).when(place == "deref", F.concat(F.lit("*"), "base"))
+    made = assigns.select(
+        F.lit("FnPtrAssignment").alias("type"), F.when(place.isin("field", "slot"), F.col("base")).alias("structType"), field.alias("fieldName"), "targetFn", F.col("file").alias("sourceFile"), "line",
+        F.when(place == "slot", F.col("slot")).alias("arrayIndex"), F.lit("runtime_assign").alias("context"), "ord",
+    )
+    return made.where("fieldName IS NOT NULL AND targetFn IS NOT NULL")
+
+
 def argument_assignments(calls: DataFrame) -> DataFrame:
     """Functions passed as arguments -> FnPtrAssignment with field arg<i>."""
     each = calls.select("calleeFn", "file", "line", F.posexplode("args").alias("i", "arg"), "indirect", "ord")

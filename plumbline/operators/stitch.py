@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.dedup import first_wins
 from plumbline.operators.graph import CodeGraph
 
 Pass = Callable[[CodeGraph], CodeGraph]
@@ -46,9 +45,17 @@ def drop_unlinked_stubs(rows: DataFrame, stubs: DataFrame, *edges: DataFrame) ->
     return rows.join(gone, "id", "left_anti")
 
 
-def merge_stubs(g: CodeGraph) -> CodeGraph:
-    """Names are unique in a loaded graph: a name is external only if all its rows were."""
-    return g
+def merge_stubs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node and edge records without the stubs whose function is known under the same name.
+
+    It goes before the load, where names become unique. Records refer to functions by name, so edges need no change but
+    for those that repeat: a stub's record goes, and with it what it would have filled in.
+    """
+    fns = nodes.where("nodeType = 'Function'")
+    real = fns.where("NOT coalesce(isExternal, false)").select("name").distinct().withColumn("_real", F.lit(True))
+    marked = nodes.join(real, "name", "left")
+    stub = (F.col("nodeType") == "Function") & F.coalesce("isExternal", F.lit(False)) & F.col("_real").isNotNull()
+    return marked.where(~F.coalesce(stub, F.lit(False))).select(*nodes.columns), edges
 
 
 # Subsystems
@@ -95,16 +102,17 @@ def resolutions(sites: DataFrame, pointers: DataFrame, known_structs: Column | N
     no function of `targets` (name) is none.
     """
     p = pointers if targets is None else pointers.join(targets.select(F.col("name").alias("targetFn")), "targetFn", "left_semi")
-    p = p.select(F.col("fieldName").alias("_field"), "structType", "targetFn", "arrayIndex", "source", F.col("ord").alias("_ord"))
+    p = p.select(F.col("fieldName").alias("_field"), F.col("structType").alias("_struct"), F.col("arrayIndex").alias("_index"), F.struct("targetFn", "arrayIndex").alias("hit"), source_rank(F.col("source")).alias("rank"), F.col("ord").alias("_ord"))
     expr = F.col("callExpression")
-    s = sites.select("callerFunction", "callExpression", S.field_name(expr).alias("_field"), S.literal_index(expr).alias("_index"), S.struct_type(expr, known_structs).alias("_struct"))
-    # Per field, struct and slot one candidate is enough; that keeps a common field's matches few.
-    best = first_wins(p, ["_field", "structType", "arrayIndex"], [source_rank(F.col("source")), "_ord"])
-    strategy = F.when(F.col("_struct") == F.col("structType"), 0).when(F.col("_index") == F.col("arrayIndex"), 1).otherwise(2)
-    joined = s.join(best, "_field").withColumn("strategy", strategy)
-    won = first_wins(joined, ["callerFunction", "callExpression"], ["strategy", source_rank(F.col("source")), "_ord"])
-    by = F.when(F.col("strategy") == 0, "static_fnptr_typed").when(F.col("strategy") == 1, "static_fnptr_indexed").otherwise("static_fnptr_fallback")
-    return won.select("callerFunction", "callExpression", F.col("targetFn").alias("target"), by.alias("resolvedBy"), "arrayIndex")
+    out = sites.select("callerFunction", "callExpression", S.field_name(expr).alias("_field"), S.literal_index(expr).alias("_index"), S.struct_type(expr, known_structs).alias("_struct")).distinct()
+    # One row for each struct's field, for each slot and for each field: a site meets three rows at most, however many
+    # assignments its field has.
+    for name, key in (("typed", ["_field", "_struct"]), ("indexed", ["_field", "_index"]), ("fallback", ["_field"])):
+        best = p.where(F.col(key[-1]).isNotNull()).groupBy(*key).agg(F.min_by("hit", F.struct("rank", "_ord")).alias(name))
+        out = out.join(best, key, "left")
+    by = F.when(F.col("typed").isNotNull(), "static_fnptr_typed").when(F.col("indexed").isNotNull(), "static_fnptr_indexed").otherwise("static_fnptr_fallback")
+    found = out.withColumn("hit", F.coalesce("typed", "indexed", "fallback")).where("hit IS NOT NULL")
+    return found.select("callerFunction", "callExpression", F.col("hit.targetFn").alias("target"), by.alias("resolvedBy"), F.col("hit.arrayIndex").alias("arrayIndex"))
 
 
 def resolve_indirect(g: CodeGraph, known_structs: Column | None = None) -> CodeGraph:
@@ -132,7 +140,6 @@ def tag_orphans(g: CodeGraph) -> CodeGraph:
 
 
 PASSES: list[tuple[str, Pass]] = [
-    ("merge_stubs", merge_stubs),
     ("tag_calls", tag_calls),
     ("resolve_indirect", resolve_indirect),
     ("tag_flows", tag_flows),

@@ -42,5 +42,11 @@ def skipped(manifest: DataFrame, root: str, depth: int = 1, excluded: tuple[str,
     return classified(manifest, root, depth, excluded).groupBy("reason").agg(F.count("*").alias("n")).where("reason IS NOT NULL")
 
 
+def staged(manifest: DataFrame, root: str, key: str) -> DataFrame:
+    """path and label, the flat name under which it is staged, of the manifest's files in a folder below `root`."""
+    rel = S.make_relative(F.col("path"), root)
+    return manifest.where(rel.startswith(key.strip("/") + "/")).select("path", S.label(F.col("path"), root).alias("label"))
+
+
 def largest(found: DataFrame, n: int = 10) -> DataFrame:
     return found.select("key", "n").orderBy(F.desc("n"), "key").limit(n)

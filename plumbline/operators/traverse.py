@@ -5,7 +5,8 @@ put in is the one that is visited. So a level is a frame (fn, seq, depth, via, e
 is the order of visits. Whether a function was visited when a row of the level looks at it is a matter of order: it is in
 an earlier level, or in this one at the same place or before.
 
-Levels are written to the shared folder, so plans don't grow with the depth.
+Levels are written to the shared folder, so plans don't grow with the depth. Of a level only as many rows are taken, the
+first in order, as the path may still have steps, and what needs one order over a level works on those.
 """
 
 from __future__ import annotations
@@ -50,26 +51,40 @@ class _Lookup:
     has_sites: bool
 
 
-def _lookup(g: CodeGraph, scratch: Scratch, infra_threshold: int, observations: DataFrame | None) -> _Lookup:
-    keep = scratch.keep
-    spark = g.calls.sparkSession
+def call_sites(g: CodeGraph) -> DataFrame:
+    """callerFunction, callExpression, target, _index of every indirect call: its resolutions among known functions, else nulls."""
     name = g.functions.select(F.col("name").alias("target"))
     resolved = g.resolves.select("callerFunction", "callExpression", "target", F.col("arrayIndex").alias("_index")).join(name, "target", "left_semi")
-    sites = g.indirect_edges.select(F.col("callerFn").alias("callerFunction"), "callExpression").join(resolved, ["callerFunction", "callExpression"], "left")
+    return g.indirect_edges.select(F.col("callerFn").alias("callerFunction"), "callExpression").join(resolved, ["callerFunction", "callExpression"], "left")
+
+
+def candidates(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
+    """The best assignment of each field and slot (_field, _at, _indexed), and of each field (_field, _any), to known functions."""
     usable = g.fnptrs.join(g.functions.select(F.col("name").alias("targetFn")), "targetFn", "left_semi")
     order = [source_rank(F.col("source")), "ord"]
     by_index = first_wins(usable.where("arrayIndex IS NOT NULL"), ["fieldName", "arrayIndex"], order).select(F.col("fieldName").alias("_field"), F.col("arrayIndex").alias("_at"), F.col("targetFn").alias("_indexed"))
-    by_field = first_wins(usable, ["fieldName"], order).select(F.col("fieldName").alias("_field"), F.col("targetFn").alias("_any"))
-    flows = g.flows.groupBy("callerFn", "calleeFn").agg(F.array_sort(F.collect_list(F.struct(F.col("callerArgPos").alias("from_pos"), F.col("calleeParamPos").alias("to_pos"), F.coalesce("calleeParamName", F.lit("")).alias("param")))).alias("flows"))
-    seen = observations if observations is not None else spark.createDataFrame([], "caller_fn string, call_site string, hit_fn string, ts timestamp")
-    last = seen.where("hit_fn IS NOT NULL").groupBy(F.col("caller_fn").alias("fn"), F.col("call_site").alias("ptr")).agg(F.max_by("hit_fn", "ts").alias("_observed"))
-    all_sites = keep(sites.select(F.col("callerFunction").alias("fn"), F.col("callExpression").alias("ptr"), "target", "_index"))
+    return by_index, first_wins(usable, ["fieldName"], order).select(F.col("fieldName").alias("_field"), F.col("targetFn").alias("_any"))
+
+
+def passed_arguments(flows: DataFrame) -> DataFrame:
+    """callerFn, callee, flows: which argument of a caller becomes which of a callee, in one array for each pair."""
+    each = F.struct(F.col("callerArgPos").alias("from_pos"), F.col("calleeParamPos").alias("to_pos"), F.coalesce("calleeParamName", F.lit("")).alias("param"))
+    return flows.groupBy("callerFn", "calleeFn").agg(F.array_sort(F.collect_list(each)).alias("flows"))
+
+
+def _lookup(g: CodeGraph, scratch: Scratch, infra_threshold: int, observations: DataFrame | None) -> _Lookup:
+    keep = scratch.keep
+    by_index, by_field = candidates(g)
+    seen = observations if observations is not None else g.calls.sparkSession.createDataFrame([], "caller_fn string, call_site string, hit_fn string, ts timestamp")
+    # The last hit, of equal times the greatest name, as where observations become edges.
+    last = seen.where("hit_fn IS NOT NULL").groupBy(F.col("caller_fn").alias("fn"), F.col("call_site").alias("ptr")).agg(F.max_by("hit_fn", F.struct("ts", "hit_fn")).alias("_observed"))
+    all_sites = keep(call_sites(g).select(F.col("callerFunction").alias("fn"), F.col("callExpression").alias("ptr"), "target", "_index"))
     return _Lookup(
         calls=keep(g.calls.select(F.col("callerFn").alias("fn"), F.col("calleeFn").alias("callee"), F.coalesce("crossSubsystem", F.lit(False)).alias("cross"))),
         sites=all_sites,
         has_sites=not all_sites.isEmpty(),
         branches=keep(g.branches.where("conditionRHSLabel <> ''").select(F.col("function").alias("fn"), "conditionOp", "conditionLHS", "conditionRHSValue", "lhsArgPos", F.col("conditionRHSLabel").alias("callee"))),
-        flows=keep(flows.select(F.col("callerFn").alias("fn"), F.col("calleeFn").alias("callee"), "flows")),
+        flows=keep(passed_arguments(g.flows).select(F.col("callerFn").alias("fn"), F.col("calleeFn").alias("callee"), "flows")),
         by_index=keep(by_index),
         by_field=keep(by_field),
         infra=keep(bulk_caller_counts(g.calls, infra_threshold).select(F.col("name").alias("callee"), F.lit(True).alias("infra"))),
@@ -112,27 +127,30 @@ def traverse(g: CodeGraph, entry: str, env: dict[str, int | None] | None = None,
         pruned.append(direct.where("outcome = 'pruned'").select("seq", "depth", F.col("callee").alias("function"), F.col("env").alias("resolved")))
         lost.append(gone.select("seq", F.col("ptr").alias("expression")))
         hits.append(sites.where("kind = 'dynamic'").select("seq", F.col("ptr").alias("expression")))
-        if cut[0] or depth == max_depth:
+        if cut[0] or depth == max_depth or length >= max_steps:
             break
-        nxt = _next(direct, sites, visited, t)
-        order = Window.orderBy("p_seq", "k", "sub")
-        front = scratch.keep(nxt.select("fn", (F.lit(last).cast("long") + F.row_number().over(order)).alias("seq"), F.lit(depth + 1).alias("depth"), "via", "env"))
+        order = ["p_seq", "k", "sub"]
+        nxt = _next(direct, sites, visited, t).orderBy(*order).limit(max_steps - length)  # no more can become steps
+        front = scratch.keep(nxt.select("fn", (F.lit(last).cast("long") + F.row_number().over(Window.orderBy(*order))).alias("seq"), F.lit(depth + 1).alias("depth"), "via", "env"))
         seen = visited  # a union of written levels
         if front.isEmpty():
             break
-    every = _union(steps)
-    path = every.withColumn("seq", F.row_number().over(Window.orderBy("seq", "sub")) - 1).drop("sub")
-    cuts = _union(pruned).withColumn("ord", F.row_number().over(Window.orderBy("seq", "function")) - 1)
+    path = _union(steps).withColumn("seq", F.row_number().over(Window.orderBy("seq", "sub")) - 1)  # some max_steps rows
     once = lambda frames: _union(frames).groupBy("expression").agg(F.min("seq").alias("seq"))
-    listed = lambda df: df.withColumn("ord", F.row_number().over(Window.orderBy("seq", "expression")) - 1).drop("seq")
+    cuts = _ranked(_union(pruned), "function")
     return Traversal(
         path=path.select("seq", "depth", "function", "via", "resolved"),
         pruned=cuts.select("ord", (F.col("depth") + 1).alias("depth"), "function", "resolved", F.lit(REASON).alias("reason")),
-        unresolved=listed(once(lost)),
-        dynamic_hits=listed(_union(hits)),
+        unresolved=_ranked(once(lost), "expression").select("expression", "ord"),
+        dynamic_hits=_ranked(_union(hits), "expression").select("expression", "ord"),
     )
 
 
+def _ranked(rows: DataFrame, by: str) -> DataFrame:
+    """ord: the step's place in the high bits, then the place among the step's rows, so that no order is needed over all."""
+    return rows.withColumn("ord", F.shiftleft("seq", 32) + F.row_number().over(Window.partitionBy("seq").orderBy(by)))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -213,7 +231,9 @@ def predict(g: CodeGraph, expr: str, **how) -> Prediction:
     entry = entry_function(g.functions, call)
     if entry is None:
         raise LookupError(f"no entry function for {call}")
-    return Prediction(call, args, env, entry, traverse(g, entry, env, **how))
+    scratch = Scratch(g.calls.sparkSession, "predict")
+    walk = traverse(g, entry, env, **how)
+    return Prediction(call, args, env, entry, Traversal(*(scratch.keep(df) for df in (walk.path, walk.pruned, walk.unresolved, walk.dynamic_hits))))
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int = 100, blocked: DataFrame | None = None) -> DataFrame:

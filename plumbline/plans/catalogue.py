@@ -104,11 +104,11 @@ def load_branches(spark, d):
     return b.select("function", F.col("conditionLHS").alias("lhs"), F.col("conditionOp").alias("op"), F.col("conditionRHSValue").alias("rhs"), "source", F.col("conditionRHSLabel").alias("label"), F.col("lhsArgPos").alias("pos"))
 
 
-@query("""WITH e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, l_linenumber AS line, l_returnflag, l_orderkey * 10000000 + l_partkey * 1000 + l_suppkey AS ord FROM lineitem WHERE l_partkey < 500),
+@query("""WITH e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, l_linenumber AS line, l_returnflag, l_orderkey * 10000000 + l_partkey * 1000 + l_suppkey AS ord FROM lineitem),
 k AS (SELECT a, b, CASE WHEN bool_or(l_returnflag = 'R') THEN 'gcc' ELSE 'joern' END AS by_ FROM e GROUP BY a, b)
 SELECT a AS caller, b AS callee, by_ AS "resolvedBy" FROM k WHERE a IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal >= 0) AND b IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 10)""")
 def endpoint_join(spark, d):
-    x = t(spark, d, "lineitem").where("l_partkey < 500")
+    x = t(spark, d, "lineitem")
     order = F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
     edges = x.select(F.concat(F.lit("s"), "l_suppkey").alias("callerFn"), F.concat(F.lit("p"), "l_partkey").alias("calleeFn"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "gcc").otherwise("joern").alias("source"), order.alias("ord"))
     s = t(spark, d, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("s"), "s_suppkey").alias("name"))
@@ -192,13 +192,13 @@ def merge_compiler_records(spark, d):
 
 @query(f"""WITH e AS ({_UNITS}), refs AS (SELECT 'f' || u % 30 AS name FROM e WHERE type = 'CallEdge' AND i % 7 <> 0 UNION SELECT 'g' || i % 20 FROM e WHERE type = 'CallEdge' AND i % 7 <> 0
 UNION SELECT 'g' || u % 25 FROM e WHERE type = 'FnPtrAssignment' AND i % 11 <> 0 UNION SELECT 'f' || u % 30 FROM e WHERE type = 'BranchCondition' AND i % 13 <> 0),
-known AS (SELECT 'f' || s_suppkey AS name, s_suppkey AS k FROM supplier WHERE s_suppkey < 10)
+known AS (SELECT 'f' || s_suppkey AS name, s_suppkey AS k FROM supplier)
 SELECT 'Function' AS kind, name, c = 2 AS stub FROM
 (SELECT 0 AS c, k, name FROM known UNION ALL SELECT 2, 0, name FROM refs WHERE name NOT IN (SELECT name FROM known)) x""")
 def unify_with_stubs(spark, d):
     from plumbline import schemas
 
-    known = t(spark, d, "supplier").where("s_suppkey < 10").select(F.lit("Function").alias("nodeType"), F.concat(F.lit("f"), "s_suppkey").alias("name"), F.lit(False).alias("isExternal"), F.lit("joern").alias("source"), F.col("s_suppkey").alias("ord"))
+    known = t(spark, d, "supplier").select(F.lit("Function").alias("nodeType"), F.concat(F.lit("f"), "s_suppkey").alias("name"), F.lit(False).alias("isExternal"), F.lit("joern").alias("source"), F.col("s_suppkey").alias("ord"))
     none = spark.createDataFrame([], "edgeType string, " + schemas.merged(*schemas.EDGES.values()) + ", ord bigint")
     shape = spark.createDataFrame([], "nodeType string, " + schemas.merged(*schemas.NODES.values()) + ", ord bigint")
     units = records.merged_units(records.validated(_units(spark, d))[0])
@@ -209,17 +209,18 @@ def unify_with_stubs(spark, d):
 # Graph passes
 
 
-def _g1(spark, d, linked=1500, whole=False):
-    o = t(spark, d, "orders") if whole else t(spark, d, "orders").where("o_orderkey < 1500")
+def _g1(spark, d, linked="true"):
+    """Orders as functions, and their calls: an order's customer calls it, if the order is `linked`."""
+    o = t(spark, d, "orders")
     name = lambda c: F.concat(F.lit("n"), F.col(c))
     fns = o.select(name("o_orderkey").alias("name"), (F.col("o_orderpriority") == "5-LOW").alias("isExternal"), F.lit(None).cast("string").alias("subsystem"))
-    return fns, (o if whole else o.where(F.col("o_orderkey") < linked)).select(name("o_custkey").alias("callerFn"), name("o_orderkey").alias("calleeFn")).distinct()
+    return fns, o.where(linked).select(name("o_custkey").alias("callerFn"), name("o_orderkey").alias("calleeFn")).distinct()
 
 
-@query("""WITH n AS (SELECT o_orderkey AS k, o_orderpriority = '5-LOW' AS ext FROM orders WHERE o_orderkey < 1500), e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey < 700)
-SELECT 'n' || k AS name FROM n WHERE NOT ext AND NOT EXISTS (SELECT 1 FROM e WHERE a = k OR b = k)""")
+@query("""WITH n AS (SELECT o_orderkey AS k, o_orderpriority = '5-LOW' AS ext FROM orders), e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderstatus = 'F')
+SELECT 'n' || k AS name FROM n WHERE NOT ext AND k NOT IN (SELECT a FROM e UNION SELECT b FROM e)""")
 def orphan_nodes(spark, d):
-    fns, edges = _g1(spark, d, 700)
+    fns, edges = _g1(spark, d, "o_orderstatus = 'F'")
     return stitch.orphan_flags(fns, edges).where("orphan").select("name")
 
 
@@ -255,7 +256,7 @@ def hub_filter(spark, d):
     return graph.bulk_caller_counts(edges, 25)
 
 
-@query("""WITH o AS (SELECT o_orderkey, 'f' || o_orderkey % 50 AS field, o_orderkey % 7 + 1 AS idx, o_orderkey % 3 = 0 AS has FROM orders WHERE o_orderkey < 3000),
+@query("""WITH o AS (SELECT o_orderkey, 'f' || o_orderkey % 50 AS field, o_orderkey % 7 + 1 AS idx, o_orderkey % 3 = 0 AS has FROM orders),
 p AS (SELECT DISTINCT 'f' || l_partkey % 60 AS field, l_linenumber AS idx, 't' || l_suppkey AS target, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS rank,
 ((l_orderkey * 10000 + l_partkey) * 1000 + l_suppkey) * 10 + l_linenumber AS ord FROM lineitem),
 b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY field, idx ORDER BY rank, ord) = 1),
@@ -265,7 +266,7 @@ FROM j QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY s, rank, ord)
 def resolve_priority(spark, d):
     k = F.col("o_orderkey")
     index = F.when(k % 3 == 0, F.concat(F.lit("["), k % 7 + 1, F.lit("]"))).otherwise("")
-    sites = t(spark, d, "orders").where("o_orderkey < 3000").select(k.cast("string").alias("callerFunction"), F.concat(F.lit("tab"), index, F.lit("->f"), k % 50, F.lit("(x)")).alias("callExpression"))
+    sites = t(spark, d, "orders").select(k.cast("string").alias("callerFunction"), F.concat(F.lit("tab"), index, F.lit("->f"), k % 50, F.lit("(x)")).alias("callExpression"))
     flag = F.col("l_returnflag")
     order = ((F.col("l_orderkey") * 10000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
     pointers = t(spark, d, "lineitem").select(
@@ -274,12 +275,6 @@ def resolve_priority(spark, d):
     return stitch.resolutions(sites, pointers).select(F.col("callerFunction").alias("caller"), "target", "resolvedBy", "arrayIndex")
 
 
-@query("SELECT o_orderkey, count(l_orderkey) AS n, max(l_suppkey) AS target FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey")
-def optional_expand(spark, d):
-    x = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.max("l_suppkey").alias("target"))
-    return t(spark, d, "orders").select("o_orderkey").join(x, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), "target")
-
-
 @query("""WITH f AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'sys_' WHEN 1 THEN '__sys_' WHEN 2 THEN '__x64_sys_' WHEN 3 THEN '__arm64_sys_' WHEN 4 THEN '' ELSE 'no_' END || 'c' || p_partkey % 40 AS name FROM part WHERE p_size % 5 = 0),
 c AS (SELECT DISTINCT 'c' || p_partkey % 40 AS call FROM part), k AS (SELECT call, p, r FROM c, (VALUES ('sys_', 0), ('__sys_', 1), ('__x64_sys_', 2), ('__arm64_sys_', 3), ('', 4)) v(p, r))
 SELECT call, arg_min(p || call, r) AS name FROM k WHERE p || call IN (SELECT name FROM f) GROUP BY call""")
@@ -335,23 +330,28 @@ def count_by_type(spark, d):
     return report.count_by(t(spark, d, "events"), "event_type")
 
 
-_PATH = "SELECT event_id AS seq, CAST(event_id % 5 AS INT) AS depth, CASE WHEN event_id % 9 = 0 THEN 'kmalloc' ELSE 'f' || event_id END AS function, CASE event_type WHEN 'view' THEN 'fn_ptr: x [graph]' ELSE 'direct call' END AS via FROM events WHERE user_id = 1"
+_PATH = "SELECT user_id, event_id AS seq, CAST(event_id % 5 AS INT) AS depth, CASE WHEN event_id % 9 = 0 THEN 'kmalloc' ELSE 'f' || event_id END AS function, CASE event_type WHEN 'view' THEN 'fn_ptr: x [graph]' ELSE 'direct call' END AS via FROM events"
 
 
 def _path(spark, d):
+    """A path for each user."""
     i = F.col("event_id")
-    return t(spark, d, "events").where("user_id = 1").select(i.alias("seq"), (i % 5).cast("int").alias("depth"), F.when(i % 9 == 0, "kmalloc").otherwise(F.concat(F.lit("f"), i)).alias("function"), F.when(F.col("event_type") == "view", "fn_ptr: x [graph]").otherwise("direct call").alias("via"))
+    return t(spark, d, "events").select(
+        "user_id", i.alias("seq"), (i % 5).cast("int").alias("depth"), F.when(i % 9 == 0, "kmalloc").otherwise(F.concat(F.lit("f"), i)).alias("function"),
+        F.when(F.col("event_type") == "view", "fn_ptr: x [graph]").otherwise("direct call").alias("via"),
+    )
 
 
-@query(f"SELECT seq, depth, NOT coalesce(lead(depth) OVER (ORDER BY seq) > depth, false) AS leaf FROM ({_PATH})")
+@query(f"SELECT user_id, seq, depth, NOT coalesce(lead(depth) OVER (PARTITION BY user_id ORDER BY seq) > depth, false) AS leaf FROM ({_PATH})")
 def fmt_leaf(spark, d):
-    return report.with_leaves(_path(spark, d)).select("seq", "depth", "leaf")
+    return report.with_leaves(_path(spark, d), "user_id").select("user_id", "seq", "depth", "leaf")
 
 
-@query(f"""WITH p AS ({_PATH}), q AS (SELECT *, via <> 'direct call' AS dispatch FROM p WHERE function <> 'kmalloc')
-SELECT seq, function, dispatch FROM q a WHERE depth = 0 OR dispatch OR EXISTS (SELECT 1 FROM q b WHERE b.dispatch AND b.seq < a.seq AND b.depth = a.depth - 1)""")
+@query(f"""WITH p AS ({_PATH}), q AS (SELECT *, via <> 'direct call' AS dispatch FROM p WHERE function <> 'kmalloc'),
+f AS (SELECT user_id, depth + 1 AS depth, min(seq) AS first FROM q WHERE dispatch GROUP BY ALL)
+SELECT user_id, seq, function, dispatch FROM q LEFT JOIN f USING (user_id, depth) WHERE depth = 0 OR dispatch OR first < seq""")
 def compact_spine(spark, d):
-    return report.spine(_path(spark, d)).select("seq", "function", "dispatch")
+    return report.spine(_path(spark, d), "user_id").select("user_id", "seq", "function", "dispatch")
 
 
 @query(r"""WITH u AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/]*/([^/?#]*)/', 1) AS lang FROM pages), k AS (SELECT host || '/' || lang AS key FROM u WHERE host <> '' AND lang <> '')
@@ -527,18 +527,18 @@ def extract_constants(spark, d):
 # Traversal
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey < 1500), w AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 30)
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders), w AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 30)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def bfs_depth_sparse(spark, d):
-    edges = t(spark, d, "orders").where("o_orderkey < 1500").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    edges = t(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
     return traverse.reach(edges, spark.range(3, 4).select(F.col("id").alias("node")), 30)
 
 
-_G2 = "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_partkey <= 100"
+_G2 = "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_returnflag = 'R'"
 
 
 def _g2(spark, d):
-    return t(spark, d, "lineitem").where("l_returnflag = 'R' AND l_partkey <= 100").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
 @query(f"""WITH RECURSIVE e AS ({_G2}), w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 8) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
@@ -554,18 +554,17 @@ def bfs_hub_pruned(spark, d):
     return traverse.reach(e.where("(src + dst) % 7 <> 0"), spark.range(1, 2).select(F.col("id").alias("node")), 8, hubs)
 
 
-@query()
+# The order of visits: level by level, in each by the first place of a caller, then by name.
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey AS b FROM orders), hubs AS (SELECT b FROM e GROUP BY b HAVING count(*) > 20),
+r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN e ON a = node WHERE depth < 30 AND b NOT IN (SELECT b FROM hubs)),
+least AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+w AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth, CAST(1 AS BIGINT) AS place
+UNION ALL SELECT e.b, w.depth + 1, row_number() OVER (ORDER BY min(w.place), 'n' || e.b) FROM w JOIN e ON e.a = w.node JOIN least l ON l.node = e.b AND l.depth = w.depth + 1 GROUP BY e.b, w.depth)
+SELECT row_number() OVER (ORDER BY depth, place) - 1 AS seq, depth, 'n' || node AS function, CASE depth WHEN 0 THEN 'syscall entry' ELSE 'direct call' END AS via FROM w ORDER BY seq LIMIT 500""")
 def bfs_order_path(spark, d):
-    """The ordered traversal with its rules for order, arguments and pruning: no SQL, tested against a model."""
-    from plumbline import schemas
-
-    fns, edges = _g1(spark, d, whole=True)
-    zero = lambda ddl: spark.createDataFrame([], ddl + ", ord bigint")
-    fns = fns.select("name", "isExternal")
-    g = graph.CodeGraph(
-        functions=fns, parameters=zero(schemas.PARAMETER), branches=zero(schemas.BRANCH_POINT), constants=zero(schemas.CONSTANT), indirect_calls=zero(schemas.INDIRECT_CALL), fnptrs=zero(schemas.FNPTR_ASSIGNMENT),
-        calls=edges.withColumn("crossSubsystem", F.lit(False)), flows=zero(schemas.DATAFLOW_EDGE), indirect_edges=zero("callerFn string, callExpression string"), assigns=zero("fieldName string"), resolves=spark.createDataFrame([], schemas.RESOLVES_TO),
-    )
+    """The ordered traversal of direct calls; its other rules are tested on graphs made by hand."""
+    fns, edges = _g1(spark, d)
+    g = _graph(spark, functions=fns.select("name", "isExternal"), calls=edges.withColumn("crossSubsystem", F.lit(False)))
     return traverse.traverse(g, "n3", {"arg0": 1}).path.select("seq", "depth", "function", "via")
 
 
@@ -610,16 +609,281 @@ def probe_first_hit(spark, d):
     return obs.first_hits(rows, 12 * 3600).select("tid", F.unix_micros("entered").alias("entered"), "hit_fn")
 
 
-@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_id FROM events WHERE event_type = 'view') SELECT 'r' AS side, 'c' || c_custkey AS name FROM customer WHERE c_custkey < 50 UNION ALL SELECT 'r', 's' || s_suppkey FROM supplier
-UNION ALL SELECT 'd', p_brand FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 47))""")
-def set_union_sources(spark, d):
-    c = t(spark, d, "customer").where("c_custkey < 50").select(F.lit("r").alias("side"), F.concat(F.lit("c"), "c_custkey").alias("name"))
-    s = t(spark, d, "supplier").select(F.lit("r").alias("side"), F.concat(F.lit("s"), "s_suppkey").alias("name"))
-    p = t(spark, d, "part")
-    gone = p.where("p_size < 25").select("p_brand").distinct().join(p.where("p_size > 47").select("p_brand"), "p_brand", "left_anti").select(F.lit("d").alias("side"), F.col("p_brand").alias("name"))
-    return c.unionByName(s).unionByName(gone)
+# Node and edge tables
+
+
+def _graph(spark, **frames):
+    """A graph of the given tables; the others are empty."""
+    from plumbline import schemas
+
+    zero = lambda ddl: spark.createDataFrame([], ddl + ", ord bigint")
+    empty = {
+        "functions": zero(schemas.FUNCTION), "parameters": zero(schemas.PARAMETER), "branches": zero(schemas.BRANCH_POINT), "constants": zero(schemas.CONSTANT), "indirect_calls": zero(schemas.INDIRECT_CALL), "fnptrs": zero(schemas.FNPTR_ASSIGNMENT),
+        "calls": zero("callerFn string, calleeFn string, crossSubsystem boolean"), "flows": zero(schemas.DATAFLOW_EDGE), "indirect_edges": zero("callerFn string, callExpression string"), "assigns": zero("fieldName string"), "resolves": spark.createDataFrame([], schemas.RESOLVES_TO),
+    }
+    return graph.CodeGraph(**(empty | frames))
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_id % 10 <> 0 THEN 'f' || user_id END AS f, CAST(CASE WHEN event_type = 'error' THEN -1 ELSE event_id % 6 END AS INT) AS pos, event_id, event_type FROM events)
+SELECT f AS "functionName", pos AS "position", 'p' || min(event_id) AS name, coalesce(arg_min(CASE WHEN event_type <> 'view' THEN {'x': event_type} ELSE {'x': ''} END, event_id).x, '') AS "typeFullName"
+FROM e WHERE f IS NOT NULL GROUP BY f, pos""")
+def load_parameters(spark, d):
+    i, kind = F.col("event_id"), F.col("event_type")
+    nodes = t(spark, d, "events").select(
+        F.when(i % 10 != 0, F.concat(F.lit("f"), "user_id")).alias("functionName"), F.when(kind != "error", (i % 6).cast("int")).alias("position"), F.concat(F.lit("p"), i).alias("name"), F.when(kind != "view", kind).alias("typeFullName"), i.alias("ord"),
+    )
+    return graph.parameters(nodes).select("functionName", "position", "name", "typeFullName")
+
+
+@query("""WITH e AS (SELECT 'C' || user_id AS name, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id END AS value, event_type AS source, event_id FROM events)
+SELECT name, arg_min({'v': value}, event_id).v AS value, arg_min(source, event_id) AS source FROM e GROUP BY name""")
+def load_constants(spark, d):
+    i = F.col("event_id")
+    rows = t(spark, d, "events").select(F.concat(F.lit("C"), "user_id").alias("name"), F.when(i % 4 == 0, F.concat(F.lit("99999999999999999999"), i)).otherwise(i.cast("string")).alias("value"), F.col("event_type").alias("source"), i.alias("ord"))
+    return graph.constants(rows).select("name", "value", "source")
+
+
+@query("""WITH e AS (SELECT 'f' || user_id AS f, event_type || '(x)' AS x, event_id FROM events WHERE event_id % 8 <> 0)
+SELECT f AS "callerFunction", x AS "callExpression", 'a' || min(event_id) % 3 AS file, CAST(min(event_id) % 90 AS INT) AS line, 'unresolved' AS state FROM e GROUP BY f, x""")
+def load_indirect_calls(spark, d):
+    i = F.col("event_id")
+    nodes = t(spark, d, "events").select(F.concat(F.lit("f"), "user_id").alias("callerFunction"), F.when(i % 8 != 0, F.concat("event_type", F.lit("(x)"))).alias("callExpression"), F.concat(F.lit("a"), i % 3).alias("file"), (i % 90).cast("int").alias("line"), i.alias("ord"))
+    return graph.indirect_calls(nodes).select("callerFunction", "callExpression", "file", "line", "state")
+
+
+_POINTERS = """SELECT 'm' || l_partkey % 80 AS f, 't' || l_suppkey AS target, CASE WHEN l_linenumber > 3 THEN CAST(l_linenumber AS BIGINT) END AS idx, CASE WHEN l_returnflag = 'R' THEN 'gcc' ELSE 'joern' END AS source,
+CASE WHEN l_tax < 0.04 THEN 'ops' || l_partkey % 5 END AS st, ((l_orderkey * 10000 + l_partkey) * 1000 + l_suppkey) * 10 + l_linenumber AS ord FROM lineitem"""
+
+
+def _pointers(spark, d):
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    order = ((F.col("l_orderkey") * 10000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 10 + n
+    return t(spark, d, "lineitem").select(
+        F.when(F.col("l_tax") < 0.04, F.concat(F.lit("ops"), F.col("l_partkey") % 5)).alias("structType"), F.concat(F.lit("m"), F.col("l_partkey") % 80).alias("fieldName"), F.concat(F.lit("t"), "l_suppkey").alias("targetFn"),
+        F.when(n > 3, n.cast("long")).alias("arrayIndex"), F.when(flag == "R", "gcc").otherwise("joern").alias("source"), F.lit("FnPtrAssignment").alias("nodeType"), order.alias("ord"),
+    )
+
+
+@query(f"""WITH p AS ({_POINTERS}) SELECT f AS "fieldName", target AS "targetFn", CASE WHEN bool_or(source = 'gcc') THEN 'gcc' ELSE 'joern' END AS source,
+arg_max(idx, ord) FILTER (idx IS NOT NULL) AS "arrayIndex" FROM p GROUP BY f, target""")
+def load_fnptrs(spark, d):
+    return graph.fnptrs(_pointers(spark, d)).select("fieldName", "targetFn", "source", "arrayIndex")
+
+
+@query(f"""WITH p AS ({_POINTERS}) SELECT f AS "fieldName", target AS "targetFn", idx AS "arrayIndex", CASE WHEN bool_or(source = 'gcc') THEN 'gcc' ELSE 'joern' END AS source FROM p
+WHERE target IN (SELECT 't' || s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY f, target, idx""")
+def assign_edges(spark, d):
+    fns = t(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("t"), "s_suppkey").alias("name"))
+    return graph.assigns(graph.fnptrs(_pointers(spark, d), "full"), fns).select("fieldName", "targetFn", "arrayIndex", F.col("resolvedBy").alias("source"))
+
+
+@query(f"""WITH p AS ({_POINTERS}) SELECT f AS "fieldName", target AS "targetFn", idx AS "arrayIndex", arg_min(source, (source <> 'gcc', ord)) AS source, arg_min({{'s': st}}, (source <> 'gcc', ord)).s AS "structType" FROM p GROUP BY f, target, idx""")
+def unify_pointers(spark, d):
+    """Of assignments that both producers have the compiler's stays, else the first."""
+    from plumbline import schemas
+
+    shape = spark.createDataFrame([], "nodeType string, " + schemas.merged(*schemas.NODES.values()) + ", ord bigint")
+    none = spark.createDataFrame([], "edgeType string, " + schemas.merged(*schemas.EDGES.values()) + ", ord bigint")
+    nodes, _ = records.unified(shape.unionByName(_pointers(spark, d), allowMissingColumns=True), none, spark.createDataFrame([], schemas.UNIT + ", ord bigint"))
+    return nodes.where("nodeType = 'FnPtrAssignment'").select("fieldName", "targetFn", "arrayIndex", "source", "structType")
+
+
+_FLOWS = """SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, CAST(l_linenumber - 1 AS INT) AS i, CAST(CASE WHEN l_discount > 0.05 THEN -1 ELSE l_quantity END AS INT) AS j, l_returnflag AS code, l_orderkey AS ord FROM lineitem"""
+
+
+def _flows(spark, d):
+    return t(spark, d, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("callerFn"), F.concat(F.lit("p"), "l_partkey").alias("calleeFn"), (F.col("l_linenumber") - 1).cast("int").alias("callerArgPos"), F.when(F.col("l_discount") <= 0.05, F.col("l_quantity").cast("int")).alias("calleeParamPos"),
+        F.col("l_returnflag").alias("callerArgCode"), F.col("l_orderkey").alias("ord"),
+    )
+
+
+@query(f"""WITH e AS ({_FLOWS}) SELECT a AS "callerFn", b AS "calleeFn", i AS "callerArgPos", j AS "calleeParamPos", '' AS "calleeParamName", min(ord) AS ord FROM e
+WHERE a IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal >= 0) AND b IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 10) GROUP BY a, b, i, j""")
+def load_flows(spark, d):
+    s = t(spark, d, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("s"), "s_suppkey").alias("name"))
+    p = t(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    return graph.flows(_flows(spark, d), s.unionByName(p)).select("callerFn", "calleeFn", "callerArgPos", "calleeParamPos", "calleeParamName", "ord")
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey % 60 AS a, l_partkey % 90 AS b FROM lineitem), s AS (SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 END AS g FROM part)
+SELECT 'p' || a AS caller, 'p' || b AS callee, CASE WHEN x.g <> y.g THEN true END AS crosses FROM p LEFT JOIN s x ON x.k = a LEFT JOIN s y ON y.k = b""")
+def flow_tag(spark, d):
+    name = lambda c: F.concat(F.lit("p"), c)
+    fns = t(spark, d, "part").select(name("p_partkey").alias("name"), F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("g"), F.col("p_size") % 4)).otherwise("").alias("subsystem"))
+    flows = t(spark, d, "lineitem").select(name(F.col("l_suppkey") % 60).alias("callerFn"), name(F.col("l_partkey") % 90).alias("calleeFn")).distinct().withColumn("crossSubsystem", F.lit(None).cast("boolean"))
+    g = stitch.tag_flows(_graph(spark, functions=fns, flows=flows))
+    return g.flows.select(F.col("callerFn").alias("caller"), F.col("calleeFn").alias("callee"), F.col("crossSubsystem").alias("crosses"))
+
+
+@query("SELECT DISTINCT 'g' || p_size % 4 AS name FROM part WHERE p_size % 4 <> 0")
+def subsystem_nodes(spark, d):
+    fns = t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("g"), F.col("p_size") % 4)).otherwise("").alias("subsystem"))
+    return stitch.roll_up(_graph(spark, functions=fns)).subsystems
+
+
+@query("""SELECT 'has_branch' AS kind, 'f' || user_id AS function, 'v' || event_id % 3 AS key FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'has_parameter', 'f' || user_id, CAST(event_id % 4 AS VARCHAR) FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def containment(spark, d):
+    e, i = t(spark, d, "events"), F.col("event_id")
+    name = F.concat(F.lit("f"), "user_id")
+    fns = t(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("f"), "c_custkey").alias("name"))
+    branches = e.select(name.alias("function"), F.concat(F.lit("v"), i % 3).alias("conditionLHS"), F.lit("==").alias("conditionOp"), i.alias("conditionRHSValue"))
+    g = _graph(spark, functions=fns, branches=branches, parameters=e.select(name.alias("functionName"), (i % 4).cast("int").alias("position")))
+    one = graph.has_branch(g).select(F.lit("has_branch").alias("kind"), "function", F.col("conditionLHS").alias("key"))
+    return one.unionByName(graph.has_parameter(g).select(F.lit("has_parameter").alias("kind"), F.col("functionName").alias("function"), F.col("position").cast("string").alias("key")))
+
+
+@query("SELECT event_type AS source, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, source LIMIT 15")
+def constants_per_source(spark, d):
+    return constants.per_source(t(spark, d, "events").select(F.col("event_type").alias("source")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS caller, 'h' || o_orderkey || '(b, a)' AS expression, CAST(2 AS INT) AS n, 'a,b' AS codes FROM orders WHERE o_orderkey % 3 <> 1""")
+def extract_indirect_edges(spark, d):
+    k = F.col("o_orderkey")
+    args = F.array(F.struct(F.lit(2).alias("ord"), F.lit("b").alias("code")), F.struct(F.lit(1).alias("ord"), F.lit("a").alias("code")))
+    calls = t(spark, d, "orders").select(
+        k.cast("string").alias("caller"), F.concat(F.lit("h"), k, F.lit("(b, a)")).alias("code"), F.lit("a.c").alias("file"), F.lit(1).alias("line"), F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y"))).alias("callees"),
+        F.when(k % 3 == 2, "<operator>.indirectCall").otherwise("x").alias("methodFullName"), args.alias("args"), k.alias("ord"),
+    )
+    return records.indirect_call_edges(calls).select(F.col("callerFn").alias("caller"), F.col("callExpression").alias("expression"), F.col("argCount").alias("n"), F.array_join("argCodes", ",").alias("codes"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS caller, 'h' || o_orderkey || '(x)' AS expression, 'a' || o_custkey % 4 || '.c' AS file, CAST(o_orderkey % 50 AS INT) AS line FROM orders WHERE o_orderkey % 3 <> 1""")
+def extract_indirect_nodes(spark, d):
+    k = F.col("o_orderkey")
+    calls = t(spark, d, "orders").select(
+        k.cast("string").alias("caller"), F.concat(F.lit("h"), k, F.lit("(x)")).alias("code"), F.concat(F.lit("a"), F.col("o_custkey") % 4, F.lit(".c")).alias("file"), (k % 50).cast("int").alias("line"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("callees"), F.when(k % 3 == 2, "<operator>.indirectCall").otherwise("x").alias("methodFullName"), k.alias("ord"),
+    )
+    return records.indirect_calls(calls).select(F.col("callerFunction").alias("caller"), F.col("callExpression").alias("expression"), "file", "line")
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: which parts are hubs of the supplier graph."""
-    return hub_filter(spark, sf_dir)
+@query("""SELECT p_name AS name, p_type AS "fullName", CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS file, CAST(CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size END AS INT) AS line, p_partkey % 5 = 0 AS "isExternal", p_partkey AS ord FROM part""")
+def extract_functions(spark, d):
+    k = F.col("p_partkey")
+    methods = t(spark, d, "part").select(
+        F.col("p_name").alias("name"), F.col("p_type").alias("fullName"), F.when(k % 5 != 0, F.col("p_brand")).alias("file"), F.when(k % 7 != 0, F.col("p_size")).alias("line"), F.lit("int()").alias("signature"), (k % 5 == 0).alias("isExternal"), k.alias("ord"),
+    )
+    return records.functions(methods).select("name", "fullName", "file", "line", "isExternal", "ord")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ops' WHEN 1 THEN 'tab' END AS struct, CASE event_id % 4 WHEN 0 THEN 'm' || user_id WHEN 1 THEN '[]' WHEN 2 THEN 'v' || user_id ELSE '*q' END AS field, CASE WHEN event_id % 4 = 1 THEN user_id END AS idx
+FROM events WHERE event_type <> 'error'""")
+def extract_runtime_assignments(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    kind = i % 4
+    rows = t(spark, d, "events").select(
+        F.when(kind == 0, "field").when(kind == 1, "slot").when(kind == 2, "variable").otherwise("deref").alias("place"), F.when(kind == 0, "ops").when(kind == 1, "tab").when(kind == 2, F.concat(F.lit("v"), u)).otherwise("q").alias("base"),
+        F.when(kind == 0, F.concat(F.lit("m"), u)).alias("member"), F.when(kind == 1, u).alias("slot"), F.when(F.col("event_type") != "error", F.concat(F.lit("fn"), i)).alias("targetFn"), F.lit("a.c").alias("file"), F.lit(1).alias("line"), i.alias("ord"),
+    )
+    return records.runtime_assignments(rows).select(F.col("ord").alias("event_id"), F.col("structType").alias("struct"), F.col("fieldName").alias("field"), F.col("arrayIndex").alias("idx"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'CallEdge' ELSE 'IndirectCall' END AS type, CASE WHEN event_id % 3 = 0 THEN 'g' || user_id END AS callee,
+CASE WHEN event_id % 3 = 1 THEN 'sk->m' || user_id || '()' WHEN event_id % 3 = 2 THEN '(*cb)()' END AS expression FROM events""")
+def extract_compiler_calls(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = t(spark, d, "events").select(
+        F.lit("f").alias("callerFn"), F.when(i % 3 == 0, F.concat(F.lit("g"), u)).alias("calleeFn"), F.when(i % 3 == 2, "cb").alias("var"), F.when(i % 3 == 1, "sk").alias("obj"), F.when(i % 3 == 1, F.concat(F.lit("m"), u)).alias("field"), (i % 3 == 2).alias("deref"),
+        F.lit("a.c").alias("file"), F.lit(1).alias("line"), F.lit(2).alias("argCount"), i.alias("ord"),
+    )
+    return records.compiler_calls(rows).select(F.col("ord").alias("event_id"), "type", F.col("calleeFn").alias("callee"), F.col("callExpr").alias("expression"))
+
+
+# What a traversal looks up
+
+
+@query("""WITH f AS (SELECT 't' || s_suppkey AS name FROM supplier WHERE s_acctbal > 0), r AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS x, 't' || o_orderkey % 120 AS target FROM orders WHERE o_orderstatus = 'F'),
+i AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS x FROM orders)
+SELECT CAST(i.c AS VARCHAR) AS caller, i.x AS expression, k.target AS target FROM i LEFT JOIN (SELECT * FROM r WHERE target IN (SELECT name FROM f)) k ON k.c = i.c AND k.x = i.x""")
+def optional_expand(spark, d):
+    o = t(spark, d, "orders")
+    key = [F.col("o_custkey").cast("string"), F.col("o_orderpriority")]
+    fns = t(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("t"), "s_suppkey").alias("name"))
+    sites = o.select(key[0].alias("callerFn"), key[1].alias("callExpression")).distinct()
+    resolves = o.where("o_orderstatus = 'F'").select(key[0].alias("callerFunction"), key[1].alias("callExpression"), F.concat(F.lit("t"), F.col("o_orderkey") % 120).alias("target"), F.lit(None).cast("long").alias("arrayIndex")).distinct()
+    made = traverse.call_sites(_graph(spark, functions=fns, indirect_edges=sites, resolves=resolves))
+    return made.select(F.col("callerFunction").alias("caller"), F.col("callExpression").alias("expression"), "target")
+
+
+@query(f"""WITH p AS ({_POINTERS}), u AS (SELECT * FROM p WHERE target IN (SELECT 't' || s_suppkey FROM supplier WHERE s_acctbal > 0))
+SELECT f AS field, idx, arg_min(target, (source <> 'gcc', ord)) AS target FROM u WHERE idx IS NOT NULL GROUP BY f, idx UNION ALL SELECT f, NULL, arg_min(target, (source <> 'gcc', ord)) FROM u GROUP BY f""")
+def traversal_candidates(spark, d):
+    fns = t(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("t"), "s_suppkey").alias("name"))
+    by_slot, by_field = traverse.candidates(_graph(spark, functions=fns, fnptrs=_pointers(spark, d)))
+    return by_slot.select(F.col("_field").alias("field"), F.col("_at").alias("idx"), F.col("_indexed").alias("target")).unionByName(by_field.select(F.col("_field").alias("field"), F.lit(None).cast("long").alias("idx"), F.col("_any").alias("target")))
+
+
+@query(f"""WITH e AS ({_FLOWS}) SELECT a AS caller, b AS callee, string_agg(i || '>' || j, ' ' ORDER BY i, j) AS flows FROM e GROUP BY a, b""")
+def traversal_flows(spark, d):
+    made = traverse.passed_arguments(_flows(spark, d).withColumns({"calleeParamPos": F.coalesce("calleeParamPos", F.lit(-1)), "calleeParamName": F.lit(None).cast("string")}))
+    text = F.array_join(F.transform("flows", lambda f: F.concat(f["from_pos"].cast("string"), F.lit(">"), f["to_pos"].cast("string"))), " ")
+    return made.select(F.col("callerFn").alias("caller"), F.col("calleeFn").alias("callee"), text.alias("flows"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, 'm' || o_orderkey % 90 AS f, 'ops' || o_orderkey % 7 AS st, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 END AS idx FROM orders), p AS ({_POINTERS}),
+r AS (SELECT *, source <> 'gcc' AS k FROM p), t1 AS (SELECT f, st, arg_min({{'t': target, 'i': idx}}, (k, ord)) AS h FROM r WHERE st IS NOT NULL GROUP BY f, st),
+t2 AS (SELECT f, idx, arg_min({{'t': target, 'i': idx}}, (k, ord)) AS h FROM r WHERE idx IS NOT NULL GROUP BY f, idx), t3 AS (SELECT f, arg_min({{'t': target, 'i': idx}}, (k, ord)) AS h FROM r GROUP BY f)
+SELECT CAST(o_orderkey AS VARCHAR) AS caller, coalesce(t1.h, t2.h, t3.h).t AS target, coalesce(t1.h, t2.h, t3.h).i AS "arrayIndex",
+CASE WHEN t1.h IS NOT NULL THEN 'static_fnptr_typed' WHEN t2.h IS NOT NULL THEN 'static_fnptr_indexed' ELSE 'static_fnptr_fallback' END AS "resolvedBy"
+FROM o LEFT JOIN t1 ON t1.f = o.f AND t1.st = o.st LEFT JOIN t2 ON t2.f = o.f AND t2.idx = o.idx JOIN t3 ON t3.f = o.f""")
+def resolve_typed(spark, d):
+    """All three ways to resolve a call, with structs known by their pointers' names."""
+    k = F.col("o_orderkey")
+    slot = F.when(k % 2 == 0, F.concat(F.lit("["), k % 9, F.lit("]"))).otherwise("")
+    sites = t(spark, d, "orders").select(k.cast("string").alias("callerFunction"), F.concat(F.lit("s"), k % 7, slot, F.lit("->m"), k % 90, F.lit("(x)")).alias("callExpression"))
+    known = F.create_map(*(x for i in range(7) for x in (F.lit(f"s{i}"), F.lit(f"ops{i}"))))
+    made = stitch.resolutions(sites, _pointers(spark, d), known)
+    return made.select(F.col("callerFunction").alias("caller"), "target", "arrayIndex", "resolvedBy")
+
+
+@query(f"""WITH e AS ({_EDGES}) SELECT "callerFunction", "callExpression", "resolvedBy" FROM e WHERE "resolvedBy" = 'dynamic'
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'p->m' || event_id || '(x)', 'static_fnptr_fallback' FROM events WHERE event_type = 'purchase'""")
+def resolve_again(spark, d):
+    """Static resolutions are deleted and made anew, observed ones stay."""
+    e = t(spark, d, "events").where("event_type = 'purchase'")
+    expr = F.concat(F.lit("p->m"), "event_id", F.lit("(x)"))
+    sites = e.select(F.col("user_id").cast("string").alias("callerFunction"), expr.alias("callExpression"), F.lit("unresolved").alias("state"))
+    pointers = e.select(F.lit(None).cast("string").alias("structType"), F.concat(F.lit("m"), "event_id").alias("fieldName"), F.lit("fn").alias("targetFn"), F.lit(None).cast("long").alias("arrayIndex"), F.lit("gcc").alias("source"), F.col("event_id").alias("ord"))
+    fns = spark.createDataFrame([("fn",)], "name string")
+    old = _edges(spark, d).withColumn("arrayIndex", F.lit(None).cast("long"))
+    g = stitch.resolve_indirect(_graph(spark, functions=fns, indirect_calls=sites, fnptrs=pointers, resolves=old))
+    return g.resolves.select("callerFunction", "callExpression", "resolvedBy")
+
+
+@query("""SELECT 'Function' AS "nodeType", 'n' || o_custkey AS name, o_orderstatus = 'O' AS ext, count(*) AS n FROM orders
+WHERE NOT (o_orderstatus = 'O' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'O')) GROUP BY ALL""")
+def stub_merge(spark, d):
+    """Stubs go where the function is known under its name."""
+    nodes = t(spark, d, "orders").select(F.lit("Function").alias("nodeType"), F.concat(F.lit("n"), "o_custkey").alias("name"), (F.col("o_orderstatus") == "O").alias("isExternal"))
+    kept, _ = stitch.merge_stubs(nodes, nodes.limit(0))
+    return kept.groupBy("nodeType", "name", F.col("isExternal").alias("ext")).agg(F.count("*").alias("n"))
+
+
+# More scalars
+
+
+@query("""SELECT p_partkey, 'f' || p_size AS probed, CASE p_partkey % 3 WHEN 0 THEN 'ops' WHEN 1 THEN 'tab' END AS struct, CASE WHEN p_size > 9 THEN '%xx' || p_size || '%' ELSE '%' END AS wild FROM part""")
+def scalar_fields(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    expr = F.when(k % 3 == 0, F.concat(F.lit("ops->f"), n, F.lit("->g(x)"))).when(k % 3 == 1, F.concat(F.lit("tab[3]->f"), n, F.lit("(x)"))).otherwise(F.concat(F.lit("f"), n, F.lit("(x)")))
+    known = F.create_map(F.lit("tab"), F.lit("tab"), F.concat(F.lit("f"), n), F.lit("ops"))
+    wild = S.like_field(F.when(n > 9, F.concat(F.lit("xx"), n)).otherwise("abc"))
+    return t(spark, d, "part").select("p_partkey", S.probe_field_name(expr).alias("probed"), S.struct_type(expr, known).alias("struct"), wild.alias("wild"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_type <> 'view' THEN 'stale' ELSE 'verified' END AS state, CAST(1000 + event_id AS BIGINT) AS "validUntil" FROM events WHERE event_type <> 'error'""")
+def expire_edges(spark, d):
+    i = F.col("event_id")
+    edges = t(spark, d, "events").where("event_type <> 'error'").select(i.alias("event_id"), F.when(F.col("event_type") == "view", "static").otherwise("dynamic").alias("resolvedBy"), F.lit("verified").alias("state"), (1000 + i).alias("validUntil"))
+    return obs.expire(edges, F.when(i % 2 == 0, 2000 + i).otherwise(F.lit(0)).cast("long")).select("event_id", "state", "validUntil")
+
+
+@query(f"""WITH e AS ({_EDGES}), o AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS x, 't' || arg_max(event_id, event_id) % 7 AS hit FROM events WHERE value >= 20 GROUP BY user_id, event_type)
+SELECT "callerFunction", "callExpression", target, "resolvedBy", state FROM e UNION ALL SELECT u, x, hit, 'dynamic', 'verified' FROM o WHERE (u, x) NOT IN (SELECT ("callerFunction", "callExpression") FROM e WHERE "resolvedBy" = 'dynamic')""")
+def record_observed(spark, d):
+    e = t(spark, d, "events").where("value >= 20")
+    seen = e.select(F.col("user_id").cast("string").alias("caller_fn"), F.col("event_type").alias("call_site"), F.concat(F.lit("t"), F.col("event_id") % 7).alias("hit_fn"), F.col("event_id").alias("ts"))
+    return obs.record_observations(_edges(spark, d), seen, F.lit(0).cast("long")).select("callerFunction", "callExpression", "target", "resolvedBy", "state")

@@ -76,15 +76,15 @@ def in_order(files: DataFrame, rank: Column | None = None) -> DataFrame:
     return each.select("r.*", "unit", (F.shiftleft(F.col("_file").cast("long"), 32) + F.col("_at")).alias("ord"))
 
 
-def unit_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of translation units in `folder`, not below it: all JSON but reserved outputs and node and edge files."""
-    files = whole_files(spark, folder, "*.json")
+def unit_files(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
+    """Files of translation units in `folder`, not below it: all JSON of `least` bytes but reserved outputs and node and edge files."""
+    files = usable(whole_files(spark, folder, "*.json"), least)
     return files.where(~F.col("name").isin(*RESERVED) & ~F.col("name").startswith("nodes_") & ~F.col("name").startswith("edges_"))
 
 
-def read_units(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_units(spark: SparkSession, folder: str, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """The compiler's records in order, and each file's name, bad and n."""
-    read = parsed(unit_files(spark, folder), schemas.UNIT)
+    read = parsed(unit_files(spark, folder, least), schemas.UNIT)
     return in_order(read.where(~F.col("bad"))), read.select("name", "bad", F.coalesce(F.size("records"), F.lit(0)).alias("n"))
 
 
@@ -147,6 +147,35 @@ def write_stage(df: DataFrame, path: str, force: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append_manifest(paths: DataFrame, folder: str) -> None:
+    """Add paths (path) to a manifest, a folder of text files; writers need no lock, as each adds files of its own."""
+    paths.select("path").where("path IS NOT NULL AND path <> ''").write.mode("append").text(folder)
+
+
 def write_json(df: DataFrame, path: str, order: Iterable[str] = ()) -> None:
     """One JSON object a line; null fields are left out."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
+
+
+def write_json_array(df: DataFrame, path: str, order: Iterable[str]) -> None:
+    """A folder of JSON arrays, one a file, in `order` over files and rows; null fields are left out.
+
+    Rows are sorted in ranges, so a file is a range of them and no task holds more.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = F.to_json(F.struct(*df.columns))
+    sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(line.alias("line"))
+
+    def arrays(batches):
+        import pyarrow as pa
+
+        begun = False
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_pydict({"value": [("," if begun else "[") + rows[0], *("," + r for r in rows[1:])]})
+                begun = True
+        if begun:
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    sorted_.mapInArrow(arrays, "value string").write.mode("overwrite").text(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,44 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write `df`, which may read from `path`, beside it, and put it in its place once it is whole."""
+    new, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(new)
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(p(old), True)
+    if fs.exists(p(path)):
+        fs.rename(p(path), p(old))
+    fs.rename(p(new), p(path))
+    fs.delete(p(old), True)
+
+
+_OWNERS: list[list[Scratch]] = []
+
+
+@contextmanager
+def collected() -> Iterator[None]:
+    """What operators write as scratch in this block is removed at its end: their results must have been written by then."""
+    made: list[Scratch] = []
+    _OWNERS.append(made)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
+        for scratch in made:
+            scratch.clear()
+
+
 class Scratch:
-    """Tables written to the shared folder; `drop` removes those that no result needs any more."""
+    """Tables written to the shared folder; `drop` removes those that no result needs any more, `clear` all.
+
+    An operator's result reads from its scratch, so only who writes the result knows when that can go: see collected().
+    """
 
     def __init__(self, spark: SparkSession, label: str):
+        if _OWNERS:
+            _OWNERS[-1].append(self)
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
@@ -48,3 +84,7 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             delete(self.spark, df.scratch_path)
+
+    def clear(self) -> None:
+        """Remove all tables, once what was made of them is written elsewhere."""
+        delete(self.spark, self.base)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,31 +46,38 @@ _STATE = "entered timestamp"
 def stream_first_hits(events: DataFrame, timeout_s: float = TIMEOUT_S, delay: str = "10 seconds") -> DataFrame:
     """first_hits on a stream: state is the open call of each thread; event time past the limit ends it without a hit."""
     limit_ms = int(timeout_s * 1000)
+    limit = np.timedelta64(limit_ms, "ms")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        opened = state.get[0] if state.exists else None
+        opened = np.datetime64(state.get[0], "us") if state.exists else None
         if state.hasTimedOut:
-            rows, opened = [(key[0], opened, None, None)], None
-        limit = pd.Timedelta(milliseconds=limit_ms)
-        for frame in frames:
-            for r in frame.sort_values(["ts", "ord"]).itertuples():
-                if opened is not None and (r.event in ("enter", "exit") or r.ts - opened > limit):
-                    rows.append((key[0], opened, None, None))
-                    opened = None
-                if r.event == "enter":
-                    opened = r.ts
-                elif r.event == "hit" and opened is not None:
-                    rows.append((key[0], opened, r.ts, r.fn))
-                    opened = None
-        if opened is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((opened.to_pydatetime() if hasattr(opened, "to_pydatetime") else opened,))
-            ends = int(pd.Timestamp(opened).timestamp() * 1000) + limit_ms
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["tid", "entered", "hit_at", "hit_fn"])
+            state.remove()
+            yield pd.DataFrame({"tid": [key[0]], "entered": [opened], "hit_at": [None], "hit_fn": [None]})
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "ord"])
+        ts, event, fn = rows["ts"].to_numpy("datetime64[us]"), rows["event"].to_numpy(object), rows["fn"].to_numpy(object)
+        if opened is not None:  # the open call goes first
+            ts, event, fn = np.append(opened, ts), np.append("enter", event), np.append(None, fn)
+        enters = event == "enter"
+        call = np.cumsum(enters) - 1
+        entered, n = ts[enters], int(enters.sum())
+        inside = np.flatnonzero((call >= 0) & ~enters)  # what came before the first call counts for none
+        late = ts[inside] - entered[call[inside]] > limit
+        ends = (event[inside] == "hit") | (event[inside] == "exit") | late
+        ended, first = np.unique(call[inside[ends]], return_index=True)  # each call ends at the first of these
+        at, in_time = inside[ends][first], ~late[ends][first]
+        hit = (event[at] == "hit") & in_time
+        hit_at, hit_fn = np.full(n, np.datetime64("NaT", "us")), np.full(n, None, object)
+        hit_at[ended[hit]], hit_fn[ended[hit]] = ts[at[hit]], fn[at[hit]]
+        still_open = n > 0 and (not len(ended) or ended[-1] != n - 1)
+        done = n - still_open
+        if still_open:
+            last = entered[-1]
+            state.update((last.item(),))
+            state.setTimeoutTimestamp(max(int(last.astype("datetime64[ms]").astype(int)) + limit_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"tid": [key[0]] * done, "entered": entered[:done], "hit_at": hit_at[:done], "hit_fn": hit_fn[:done]})
 
     keyed = events.withColumn("tid", F.col("tid").cast("string")).withWatermark("ts", delay)
     return keyed.groupBy("tid").applyInPandasWithState(step, _OUT, _STATE, "append", "EventTimeTimeout")

@@ -1,7 +1,5 @@
 """The small socket graph that is worked out by hand."""
 
-from pyspark.sql import functions as F
-
 from plumbline import schemas
 
 FUNCTIONS = [
@@ -45,9 +43,3 @@ def records(spark):
         spark.createDataFrame([(n, v, "h", i) for i, (n, v) in enumerate(CONSTANTS)], "name string, value bigint, source string, ord bigint"),
     )
 
-
-def graph(spark):
-    from plumbline.operators.graph import load
-
-    g = load(*records(spark))
-    return g.with_(**{k: v.withColumn("_", F.lit(1)).drop("_") for k, v in {"calls": g.calls}.items()})

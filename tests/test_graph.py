@@ -44,6 +44,44 @@ EXPECTED = [
 ]
 
 
+LOST = "── Unresolved indirect call sites " + "─" * 36
+PRETTY = [
+    "═" * 70,
+    "  socket(AF_INET=2, SOCK_STREAM=1, 0=0)",
+    "═" * 70,
+    "",
+    "__sys_socket() {",
+    "  sock_create() {",
+    "    __sock_create() {",
+    "      ✂  /* alt path pruned → sock_legacy */",
+    "      security_socket_create();  /* cross-subsystem */",
+    "      inet_create() {  /* fn_ptr → pf->create(net, sock, protocol, kern) [static] */",
+    "        [UNRESOLVED] (*sk->sk_prot->hash)(sk)();  /* no target */",
+    "        sk_alloc();",
+    "        tcp_v4_init_sock();  /* fn_ptr → sk->sk_prot->init(sk) [static] */",
+    "      }",
+    "    }",
+    "  }",
+    "}",
+    "",
+    "── Pruned alternative paths " + "─" * 42,
+    "  __sock_create() excluded:",
+    "    ✂  sock_legacy()",
+    "",
+    LOST,
+    "  ?  (*sk->sk_prot->hash)(sk)",
+    "",
+    "─" * 70,
+    "  Steps: 8   Pruned: 1   Unresolved: 1",
+    "─" * 70,
+]
+GRAPHED = [
+    (0, "__sys_socket() {"), (1, "sock_create() {"), (2, "__sock_create() {"), (3, "/* ✂ alt path pruned → sock_legacy */"), (3, "security_socket_create();"),
+    (3, "inet_create() {  /* fn_ptr → pf->create(net, sock, protocol, kern) [static] */"), (4, "(*sk->sk_prot->hash)(sk)();  /* UNRESOLVED */"), (4, "sk_alloc();"),
+    (4, "tcp_v4_init_sock();  /* fn_ptr → sk->sk_prot->init(sk) [static] */"), (3, "}"), (2, "}"), (1, "}"), (0, "}"),
+]
+
+
 def test_load_and_stitch(whole):
     assert {r.name for r in G.bulk_caller_counts(whole.calls, 2).collect()} == {"kmalloc"}
     assert {r.name for r in whole.functions.where("orphan").collect()} == {"inet6_create", "lonely_fn", "tcp_v4_init_sock", "udp_init_sock"}
@@ -56,7 +94,8 @@ def test_load_and_stitch(whole):
     assert report.health(whole, 60.0).first().ok
     s = report.status(whole).first()
     assert (s.functions, s.call_edges, s.indirect_calls, s.branch_points, s.constants, s.dynamic_edges) == (12, 9, 3, 1, 4, 0)
-    assert G.check_unique(whole.functions, "name")
+    assert G.check_unique(whole.functions, "name") and G.broken_keys(whole) == []
+    assert G.broken_keys(whole.with_(functions=whole.functions.unionByName(whole.functions))) == ["functions"]
     assert G.has_branch(whole).count() == 1 and G.has_parameter(whole).count() == 0
     assert G.assigns(whole.fnptrs, whole.functions).count() == 4
 
@@ -70,11 +109,11 @@ def test_predict(whole):
     assert env["__sock_create"] == {"AF_INET": 2, "SOCK_STREAM": 1, "arg0": 2, "net": 2, "arg1": 2, "family": 2, "arg2": 1, "type": 1, "arg3": 0, "protocol": 0}
     assert [(r.depth, r.function) for r in p.walk.pruned.collect()] == [(3, "sock_legacy")]
     assert [r.expression for r in p.walk.unresolved.collect()] == ["(*sk->sk_prot->hash)(sk)"]
-    text = report.pretty(p)
-    assert "sock_create() {" in text and "✂  /* alt path pruned" not in text.split("──")[0] or "sock_legacy" in text
+    assert report.pretty(p).split("\n") == PRETTY
     graphed = report.function_graph(p).split("\n")
-    assert "|  __sys_socket() {" in graphed and "        |  sk_alloc();" in graphed
-    assert any("/* fn_ptr → pf->create(net, sock, protocol, kern) [static] */" in x for x in graphed)
+    assert graphed[1:3] == ["  socket(AF_INET=2, SOCK_STREAM=1, 0=0)", "  function_graph trace  (static prediction)"]
+    assert graphed[5:18] == ["  " * d + "|  " + x for d, x in GRAPHED]
+    assert graphed[19:25] == [LOST, "  ?  (*sk->sk_prot->hash)(sk)", "", "── Pruned branches (argument-gated) " + "─" * 34, "  __sock_create() excluded:", "    ✂  sock_legacy()"]
     small = report.compact(p)
     assert "▶ __sys_socket()" in small and "inet_create()  ← fn_ptr" in small and "kmalloc" not in small and "\n  └─ sock_create" not in small
     made = json.loads(report.as_json(p))
