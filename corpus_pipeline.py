@@ -14,6 +14,7 @@ from plumbline.llm.mixing import mixed
 from plumbline.llm.simhash import one_of_each
 from plumbline.llm.token_output import training_order, vocabulary
 from plumbline.llm.toxicity import without_toxic
+from plumbline.sources.shared import collected
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), "documents", join_beyond=True)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), "documents")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        before = docs
+        with collected():  # a stage's scratch goes as soon as its rows are written
+            docs = scratch.keep(stage(spark, docs, sf_dir))
         if name != STAGES[0][0]:
             scratch.drop(before)
     return docs
