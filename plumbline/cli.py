@@ -54,14 +54,14 @@ def build(spark: SparkSession, a: argparse.Namespace) -> int:
     if broken := graph.broken_keys(loaded):
         raise ValueError(f"keys that don't identify rows: {broken}")
     stitch.stitch(loaded, None if a.passes is None else max(0, a.passes - 1)).save(a.out)
-    health = report.health(graph.read_graph(spark, a.out), a.max_unresolved)
-    health.show(vertical=True)
+    health = report.health(graph.read_graph(spark, a.out), a.max_unresolved).first()
+    print("\n".join(f"{name:<18}{value}" for name, value in health.asDict().items()))
     if a.manifest:
         listed = subsystems.subsystems(sources.read_manifest(spark, a.manifest), a.root, a.depth, a.min_files)
         listed.show(truncate=False)
         if a.subsystems:
             listed.select("path").write.mode("overwrite").text(a.subsystems)
-    return 0 if health.first().ok else 1
+    return 0 if health.ok else 1
 
 
 def _seen(spark: SparkSession, path: str | None) -> DataFrame | None:

@@ -219,9 +219,16 @@ DEFINE_ALIAS = r"^\s*#\s*define\s+([A-Z_][A-Z0-9_]*)\s+([A-Z_][A-Z0-9_]*)\s*$"
 ENUM_ENTRY = r"^\s*([A-Z_][A-Z0-9_]*)(?:\s*=\s*(0[xX][0-9a-fA-F]+|-?\d+)\s*,?)?"
 
 
+def header_literal(text: Column) -> Column:
+    """int_literal of what the patterns above take for one: hexadecimal digits, or decimal ones with a sign."""
+    digits = F.regexp_replace(text, "^0[xX]0*", "")
+    hexadecimal = F.when(F.length(digits) <= 16, F.conv(F.concat(F.lit("0"), digits), 16, 10).try_cast("bigint"))
+    return F.when(text.rlike("^0[xX]"), hexadecimal).when(text.rlike("^-?(0+|[1-9][0-9]*)$"), text.try_cast("bigint"))
+
+
 def define_int(line: Column) -> Column:
     """A line that defines a name as an integer literal: struct(name, value)."""
-    return F.when(line.rlike(DEFINE_INT), F.struct(F.regexp_extract(line, DEFINE_INT, 1).alias("name"), int_literal(F.regexp_extract(line, DEFINE_INT, 2)).alias("value")))
+    return F.when(line.rlike(DEFINE_INT), F.struct(F.regexp_extract(line, DEFINE_INT, 1).alias("name"), header_literal(F.regexp_extract(line, DEFINE_INT, 2)).alias("value")))
 
 
 def define_alias(line: Column) -> Column:

@@ -45,7 +45,7 @@ def definitions(lines: DataFrame, strict_c: bool = False) -> tuple[DataFrame, Da
     no = F.col("line_no")
     entry = S.enum_parts(F.col("clean"))
     inside = placed.where("start IS NOT NULL AND NOT edge").select("path", "header_rank", "line_no", "start", "clean", *(c.alias(k) for k, c in entry.items())).where("name <> ''")
-    inside = inside.withColumn("value", F.when(F.col("literal") != "", S.int_literal(F.col("literal"))))
+    inside = inside.withColumn("value", F.when(F.col("literal") != "", S.header_literal(F.col("literal"))))
     counted = inside.where("literal = '' OR value IS NOT NULL")
     if strict_c:
         counted = counted.where((F.col("literal") != "") | ~F.col("clean").contains("="))

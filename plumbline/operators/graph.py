@@ -210,7 +210,12 @@ def check_unique(df: DataFrame, *key: str) -> bool:
 
 def broken_keys(g: CodeGraph) -> list[str]:
     """Tables whose key doesn't identify their rows."""
-    return [name for name, key in KEYS.items() if not check_unique(getattr(g, name), *key)]
+    found = None
+    for name, key in KEYS.items():
+        one = getattr(g, name).groupBy(*key).count().where("count > 1").select(F.lit(name).alias("name")).limit(1)
+        found = one if found is None else found.unionByName(one)
+    broken = {r.name for r in found.collect()}
+    return [name for name in KEYS if name in broken]
 
 
 def bulk_caller_counts(calls_: DataFrame, threshold: int = 20) -> DataFrame:
