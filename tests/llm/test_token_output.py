@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -84,3 +85,17 @@ def test_slots_don_t_depend_on_partitions(spark, ranks):
         seen.append([(r.slot, r.shard, r.at, r.doc_id, r.chunk, r.n_tokens, bytes(r.ids)) for r in got])
     spark.conf.set("spark.sql.shuffle.partitions", was)
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 300
+
+
+def test_texts_moved_for_the_order_leave_no_files(spark, ranks):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f: os.path.getsize(f) for f in files.split("\n") if "shuffle_" in f and f.endswith(".data") and os.path.exists(f)}
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 500)) for i in range(200)]
+    before, key = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    ordered = training_order(docs(spark, rows), ranks, length=16)
+    assert sum(n for f, n in held().items() if f not in before) < sum(len(t) for _, t in rows) / 20  # the counts of its tasks
+    assert spark.conf.get(key, None) == was and ordered.count() > 200
